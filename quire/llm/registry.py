@@ -1,10 +1,17 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from quire.llm import repetition
+from quire.llm import mixing, repetition, sharding, simhash, url_filter
 
 QUERIES = {
     "op2_repetition": repetition.op2_repetition,
+    "op4_mixing": mixing.op4_mixing,
+    "op6_sharding": sharding.op6_sharding,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op2_repetition": repetition.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op6_sharding": sharding.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
 }
