@@ -1,4 +1,437 @@
 """Named queries over the driver's tables, each with its SQL counterpart where SQL can express it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.config import IndexingConfig
+from quire.functions import text as X
+from quire.functions.vectors import mean_pool
+from quire.operators import detect, retrieve, tree
+from quire.sources import fixtures as FX
+from quire.sources import pages as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+CONFIG = IndexingConfig()
+SMALL = IndexingConfig(max_node_text_length=1500, page_group_max_tokens=400)
+
+
+def query(oracle: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+# ---------------------------------------------------------------- sources and text functions
+
+
+@query(f"WITH {FX.DOC_PAGES} SELECT * FROM doc_pages")
+def pages_from_lines(spark, d):
+    return FX.doc_pages(spark, d)
+
+
+@query(f"""WITH RECURSIVE md AS (SELECT page_id::VARCHAR AS document_id, concat_ws(chr(10) || chr(10), '# ' || regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'),
+    nullif(array_to_string(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), chr(10) || chr(10)), '')) AS text FROM pages),
+  p AS (SELECT document_id, unnest(ps) AS par, generate_subscripts(ps, 1) AS k FROM (SELECT document_id, regexp_split_to_array(text, '\\n{{2,}}') AS ps FROM md)),
+  r AS (SELECT document_id, k, par AS cur, 1 AS page FROM p WHERE k = 1
+    UNION ALL SELECT r.document_id, p.k, CASE WHEN b.cut THEN p.par WHEN length(r.cur) > 0 THEN r.cur || chr(10) || chr(10) || p.par ELSE p.par END, r.page + b.cut::INT
+    FROM r JOIN p ON p.document_id = r.document_id AND p.k = r.k + 1, LATERAL (SELECT (length(r.cur) > 0 AND length(r.cur) + length(p.par) > 1500) OR (starts_with(ltrim(p.par), '#') AND length(r.cur) > 500) AS cut) b)
+  SELECT document_id, page AS page_number, regexp_replace(arg_max(cur, k), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g') AS text FROM r GROUP BY document_id, page""")
+def markdown_to_pages(spark, d):
+    return P.from_markdown(P.from_html(FX.table(spark, d, "pages")))
+
+
+_NFKC = "replace(replace(text, chr(160), ' '), chr(8230), '...')"
+
+
+@query(f"WITH {FX.TOC_PAGES} SELECT document_id, page_number, {_NFKC} AS normalized, regexp_replace(text, '^#{{1,6}}\\s+', '') AS stripped FROM toc_pages")
+def toc_normalize(spark, d):
+    return FX.toc_pages(spark, d).select("document_id", "page_number", X.normalized(F.col("text")).alias("normalized"), X.without_header_mark(F.col("text")).alias("stripped"))
+
+
+# the engine of the SQL side has no lookahead; this matches the same lines
+_SPACE = r"^\s*(\S+(?:\s\S+)*?)\s{2,}(\d{1,4})(?:-\d{1,3})?[.\s]*$"
+_TOC = f"""{FX.TOC_PAGES},
+norm AS (SELECT document_id, page_number, {_NFKC} AS text FROM toc_pages),
+nlines AS (SELECT document_id, page_number, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_pos FROM (SELECT *, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS ls FROM norm)),
+marks AS (SELECT document_id, page_number, sum((regexp_matches(l, '{X.DOT_LEADER}') OR regexp_matches(l, '{X.DASH_LEADER}') OR regexp_matches(l, '{X.TAB_NUMBER}'))::INT)::INT AS structured, sum(regexp_matches(l, '{_SPACE}')::INT)::INT AS spaced
+  FROM (SELECT *, regexp_replace(line, '^#{{1,6}}\\s+', '') AS l FROM nlines) GROUP BY ALL),
+flags AS (SELECT *, has_header OR structured >= 3 OR (structured >= 1 AND spaced >= 3) AS is_toc FROM (SELECT document_id, page_number, structured, spaced, contains(upper(text), 'TABLE OF CONTENTS') OR regexp_matches(text, '(?im)^\\s*(?:#{{1,6}}\\s+)?(table of contents|contents)\\s*$') AS has_header FROM norm JOIN marks USING (document_id, page_number))),
+parsed AS (SELECT document_id, page_number AS toc_page, line_pos,
+  CASE WHEN regexp_matches(l, '{X.DOT_LEADER}') THEN [regexp_extract(l, '{X.DOT_LEADER}', 1), regexp_extract(l, '{X.DOT_LEADER}', 2)] WHEN regexp_matches(l, '{X.DASH_LEADER}') THEN [regexp_extract(l, '{X.DASH_LEADER}', 1), regexp_extract(l, '{X.DASH_LEADER}', 2)]
+    WHEN regexp_matches(l, '{X.TAB_NUMBER}') THEN [regexp_extract(l, '{X.TAB_NUMBER}', 1), regexp_extract(l, '{X.TAB_NUMBER}', 2)] WHEN regexp_matches(l, '{_SPACE}') THEN [regexp_extract(l, '{_SPACE}', 1), regexp_extract(l, '{_SPACE}', 2)]
+    WHEN (max(has_header) OVER (PARTITION BY document_id)) AND regexp_matches(l, '{X.PERMISSIVE}') AND regexp_matches(regexp_extract(l, '{X.PERMISSIVE}', 1), '[A-Za-z]') THEN [regexp_extract(l, '{X.PERMISSIVE}', 1), regexp_extract(l, '{X.PERMISSIVE}', 2)] END AS g
+  FROM (SELECT document_id, page_number, line_pos, has_header, regexp_replace(line, '^#{{1,6}}\\s+', '') AS l FROM nlines JOIN flags USING (document_id, page_number) WHERE is_toc)),
+entries0 AS (SELECT document_id, toc_page, line_pos::INT AS line_pos, trim(g[1]) AS title, g[2]::INT AS page_number FROM parsed WHERE g IS NOT NULL),
+toc_lines AS (SELECT *, greatest(1, len(list_filter(string_split(regexp_extract(title, '^\\s*(\\d+(?:\\.\\d+)*)\\s', 1), '.'), lambda x: x <> '0' AND x <> '')))::INT AS level FROM entries0 WHERE page_number >= 1 AND title <> '' AND NOT regexp_matches(title, '^[\\d.\\s]+$'))"""
+
+
+@query(f"WITH {_TOC} SELECT document_id, page_number, has_header, structured, spaced, is_toc FROM flags")
+def toc_page_predicate(spark, d):
+    return detect.contents_pages(FX.toc_pages(spark, d), CONFIG).select("document_id", "page_number", "has_header", "structured", "spaced", "is_toc")
+
+
+@query(f"WITH {_TOC} SELECT document_id, toc_page, line_pos, title, page_number, level FROM toc_lines")
+def toc_parse_lines(spark, d):
+    return detect.contents_lines(detect.contents_pages(FX.toc_pages(spark, d), CONFIG))
+
+
+_GATE = f"""{_TOC},
+gate AS (SELECT document_id, min(page_number) AS least FROM toc_lines GROUP BY document_id HAVING max(page_number) - min(page_number) >= 3 OR (count(*) >= 6 AND count(DISTINCT page_number) >= 3)),
+about AS (SELECT document_id, max(page_number) AS total, max(page_number) FILTER (WHERE is_toc) AS last_toc, max(page_number) FILTER (WHERE NOT is_toc) AS last_content_page FROM flags GROUP BY document_id),
+toc_entries AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY toc_page, line_pos)::INT AS entry_pos, title, page_number,
+  least(greatest(page_number + CASE WHEN last_toc * 2 > total THEN 1 - least ELSE last_toc + 1 - least END, 1), total)::INT AS physical_index, level, NULL::VARCHAR AS structure, 'TOC_WITH_PAGES' AS method, last_content_page
+  FROM toc_lines JOIN gate USING (document_id) JOIN about USING (document_id))"""
+
+
+@query(f"WITH {_GATE} SELECT document_id, least FROM gate")
+def toc_span_gate(spark, d):
+    lines = detect.contents_lines(detect.contents_pages(FX.toc_pages(spark, d), CONFIG))
+    spans = lines.groupBy("document_id").agg(F.min("page_number").alias("least"), (F.max("page_number") - F.min("page_number")).alias("spread"), F.count(F.lit(1)).alias("n"), F.count_distinct("page_number").alias("distinct"))
+    return spans.filter((F.col("spread") >= 3) | ((F.col("n") >= 6) & (F.col("distinct") >= 3))).select("document_id", "least")
+
+
+@query(f"WITH {_GATE} SELECT * FROM toc_entries")
+def toc_detect(spark, d):
+    return detect.by_contents(FX.toc_pages(spark, d), CONFIG)
+
+
+def _md_lines(pages: str) -> str:
+    return f"""md_lines AS (SELECT document_id, page_number, unnest(ls) AS line, (generate_subscripts(ls, 1) - 1)::INT AS line_pos FROM (SELECT *, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS ls FROM {pages})),
+fences AS (SELECT *, starts_with(ltrim(line), '```') AS is_fence FROM md_lines),
+fenced AS (SELECT *, sum(is_fence::INT) OVER (PARTITION BY document_id, page_number ORDER BY line_pos) % 2 = 1 AS in_fence FROM fences)"""
+
+
+_MD = f"{FX.MD_PAGES}, {_md_lines('md_pages')}"
+
+
+@query(f"WITH {_MD} SELECT document_id, page_number, line_pos, is_fence, in_fence FROM fenced")
+def code_fence_mask(spark, d):
+    return detect.fenced(detect.page_lines(FX.md_pages(spark, d)), by_page=True).select("document_id", "page_number", "line_pos", "is_fence", "in_fence")
+
+
+def _headers(pages: str) -> str:
+    """Kinds by look-ahead and look-back; the fixture has no run of underlines."""
+    return f"""{_md_lines(pages)},
+near AS (SELECT *, lead(line) OVER w AS nx, lag(line) OVER w AS pv FROM fenced WINDOW w AS (PARTITION BY document_id, page_number ORDER BY line_pos)),
+kinds AS (SELECT *, NOT is_fence AND NOT in_fence AS free, trim(line) <> '' AND coalesce(regexp_matches(nx, '^={{3,}}\\s*$') OR (regexp_matches(nx, '^-{{3,}}\\s*$') AND trim(coalesce(pv, '')) <> ''), false) AS under FROM near),
+used AS (SELECT *, coalesce(lag(free AND under AND NOT regexp_matches(line, '{X.ATX}')) OVER (PARTITION BY document_id, page_number ORDER BY line_pos), false) AS skip FROM kinds),
+heads AS (SELECT document_id, page_number, line_pos, line, CASE WHEN NOT free OR skip THEN NULL WHEN regexp_matches(line, '{X.ATX}') THEN 'atx' WHEN under THEN 'setext'
+  WHEN regexp_matches(line, '{X.NUMBERED}') AND NOT regexp_matches(trim(regexp_extract(line, '{X.NUMBERED}', 2)), '^[\\d.\\s]+$') THEN 'numbered' WHEN regexp_matches(line, '{X.BOLD}') THEN 'bold' END AS kind, nx FROM used),
+header_lines AS (SELECT document_id, page_number, line_pos, trim(CASE kind WHEN 'atx' THEN regexp_extract(line, '{X.ATX}', 2) WHEN 'setext' THEN line WHEN 'numbered' THEN regexp_extract(line, '{X.NUMBERED}', 2) ELSE regexp_extract(line, '{X.BOLD}', 1) END) AS title,
+  CASE kind WHEN 'atx' THEN length(regexp_extract(line, '{X.ATX}', 1)) WHEN 'setext' THEN CASE WHEN starts_with(nx, '=') THEN 1 ELSE 2 END WHEN 'numbered' THEN len(string_split(regexp_extract(line, '{X.NUMBERED}', 1), '.')) ELSE 1 END::INT AS level, kind FROM heads WHERE kind IS NOT NULL),
+md_entries AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, line_pos)::INT AS entry_pos, title, NULL::INT AS page_number, page_number AS physical_index, level, NULL::VARCHAR AS structure, 'HEADER_BASED' AS method, NULL::INT AS last_content_page FROM header_lines)"""
+
+
+_HEADERS = f"{FX.MD_PAGES}, {_headers('md_pages')}"
+
+
+def _one_kind(kind: str):
+    def f(spark, d):
+        return detect.header_lines(FX.md_pages(spark, d)).filter(F.col("kind") == kind)
+
+    f.__name__ = f"header_detect_{kind}"
+    query(f"WITH {_HEADERS} SELECT * FROM header_lines WHERE kind = '{kind}'")(f)
+
+
+for _kind in ("atx", "setext", "numbered", "bold"):
+    _one_kind(_kind)
+
+
+@query(f"WITH {_HEADERS} SELECT * FROM md_entries")
+def header_detect(spark, d):
+    return detect.by_headers(FX.md_pages(spark, d), CONFIG)
+
+
+_CHUNKS = f"""{FX.DOC_PAGES},
+fold AS (SELECT document_id, page_number AS p, length(text) AS cur, 0 AS chunk FROM doc_pages WHERE page_number = 1
+  UNION ALL SELECT x.document_id, x.page_number, CASE WHEN b.cut THEN length(x.text) ELSE f.cur + length(x.text) END, f.chunk + b.cut::INT
+  FROM fold f JOIN doc_pages x ON x.document_id = f.document_id AND x.page_number = f.p + 1, LATERAL (SELECT f.cur + length(x.text) > 1500 AND f.cur > 0 AS cut) b),
+flat AS (SELECT document_id, chunk, min(p) AS first_page, max(p) AS last_page FROM fold GROUP BY document_id, chunk)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT * FROM flat")
+def flat_chunks(spark, d):
+    return detect.flat_chunks(FX.doc_pages(spark, d), SMALL)
+
+
+@query(f"""WITH RECURSIVE {FX.DOC_PAGES}, sized AS (SELECT document_id, page_number AS p, length(text) // 4 AS n, sum(length(text) // 4) OVER (PARTITION BY document_id ORDER BY page_number) AS upto, max(page_number) OVER (PARTITION BY document_id) AS total FROM doc_pages),
+  ends AS (SELECT a.document_id, a.p, a.total, coalesce(min(b.p) FILTER (WHERE b.upto - a.upto + a.n > 400 AND b.p > a.p), any_value(a.total) + 1) AS e FROM sized a JOIN sized b ON a.document_id = b.document_id AND b.p >= a.p GROUP BY a.document_id, a.p, a.total),
+  g AS (SELECT document_id, 0 AS group_no, p, e, total FROM ends WHERE p = 1 UNION ALL SELECT g.document_id, g.group_no + 1, x.p, x.e, x.total FROM g JOIN ends x ON x.document_id = g.document_id AND x.p = greatest(g.e - 1, g.p + 1) WHERE g.e <= g.total)
+  SELECT document_id, group_no, range(p, e)::INT[] AS page_numbers FROM g""")
+def page_groups_overlap(spark, d):
+    return detect.page_groups(FX.doc_pages(spark, d), SMALL)
+
+
+@query(f"""WITH {FX.DOC_PAGES}, t AS (SELECT document_id, page_number, '<physical_index_' || page_number || '>' || text || '</physical_index_' || page_number || '>' AS tagged, text FROM doc_pages)
+  SELECT document_id, page_number, tagged, page_number AS parsed, (length(text) // 4)::INT AS tokens FROM t""")
+def physical_tags(spark, d):
+    tagged = X.tagged(F.col("page_number"), F.col("text"))
+    return FX.doc_pages(spark, d).select("document_id", "page_number", tagged.alias("tagged"), X.tag_number(tagged).alias("parsed"), X.tokens_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber::VARCHAR || repeat('.1', l_linenumber % 4) END AS structure, (CASE WHEN l_linenumber = 7 THEN 1 ELSE 1 + l_linenumber % 4 END)::INT AS level FROM lineitem")
+def structure_level(spark, d):
+    s = F.when(F.col("l_linenumber") != 7, F.concat(F.col("l_linenumber").cast("string"), F.expr("repeat('.1', l_linenumber % 4)")))
+    return FX.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.alias("structure"), X.structure_level(s).cast("int").alias("level"))
+
+
+@query(f"WITH {FX.TOC_PAGES} SELECT document_id, page_number, regexp_replace(text, '\\.{{5,}}', ': ', 'g') AS text FROM toc_pages")
+def dot_leaders(spark, d):
+    return FX.toc_pages(spark, d).select("document_id", "page_number", X.without_dot_leaders(F.col("text")).alias("text"))
+
+
+_CHAIN = f"""{_GATE}, {FX.MD_PAGES}, {_headers("md_pages")}, {_CHUNKS},
+flat_entries AS (SELECT 'd' || document_id AS document_id, row_number() OVER (PARTITION BY document_id ORDER BY first_page)::INT AS entry_pos, CASE WHEN first_page = last_page THEN 'Page ' || first_page ELSE 'Pages ' || first_page || '-' || last_page END AS title, first_page AS page_number, first_page AS physical_index, 1 AS level, NULL::VARCHAR AS structure, 'FLAT_PAGES' AS method, NULL::INT AS last_content_page FROM flat)"""
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT * REPLACE ('t' || document_id AS document_id) FROM toc_entries UNION ALL SELECT * REPLACE ('m' || document_id AS document_id) FROM md_entries UNION ALL SELECT * FROM flat_entries")
+def detect_chain(spark, d):
+    named = lambda p, mark: p.withColumn("document_id", F.concat(F.lit(mark), "document_id"))
+    pages = named(FX.toc_pages(spark, d), "t").unionByName(named(FX.md_pages(spark, d), "m")).unionByName(named(FX.doc_pages(spark, d), "d"))
+    return detect.detect(pages, SMALL)
+
+
+PATTERNS = [(r"^## (.+)$", 2), (r"^# (.+)$", 1), (r"^(.+) trade$", 3), (r"^(.*)$", 1), (r"^never (x+)$", 1), (r"^no group$", 1), (r"^(broken", 1)]
+
+
+@query(f"""WITH {_MD}, patterns(regex, level) AS (VALUES ('^## (.+)$', 2), ('^# (.+)$', 1), ('^(.+) trade$', 3), ('^(.*)$', 1), ('^never (x+)$', 1)), sample AS (SELECT line FROM md_lines WHERE trim(line) <> '' AND page_number <= 5)
+  SELECT regex, level FROM patterns, sample GROUP BY regex, level HAVING count_if(regexp_matches(line, regex)) > 0 AND count_if(regexp_matches(line, regex)) <= 0.5 * count(*)""")
+def regex_validate(spark, d):
+    return spark.createDataFrame(detect.valid_patterns(FX.md_pages(spark, d), PATTERNS), "regex string, level int")
+
+
+@query(f"""WITH {FX.MD_PAGES}, {_md_lines("md_pages")}, whole AS (SELECT *, sum(is_fence::INT) OVER (PARTITION BY document_id ORDER BY page_number, line_pos) % 2 = 1 AS inside FROM fences),
+  hits AS (SELECT document_id, page_number, line_pos, CASE WHEN regexp_matches(line, '^# (.+)$') THEN [trim(regexp_extract(line, '^# (.+)$', 1)), '1'] WHEN regexp_matches(line, '^## (.+)$') THEN [trim(regexp_extract(line, '^## (.+)$', 1)), '2'] WHEN regexp_matches(line, '^(.+) trade$') THEN [trim(regexp_extract(line, '^(.+) trade$', 1)), '3'] END AS h FROM whole WHERE NOT is_fence AND NOT inside)
+  SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, line_pos)::INT AS entry_pos, h[1] AS title, NULL::INT AS page_number, page_number AS physical_index, h[2]::INT AS level, NULL::VARCHAR AS structure, 'REGEX_DISCOVERED' AS method, NULL::INT AS last_content_page FROM hits WHERE h IS NOT NULL""")
+def regex_apply(spark, d):
+    return detect.by_patterns(FX.md_pages(spark, d), PATTERNS[:3], CONFIG)
+
+
+@query(f"WITH {FX.DOC_PAGES} SELECT document_id, sha256(string_agg(text, '' ORDER BY page_number)) AS fingerprint FROM doc_pages WHERE page_number <= 5 GROUP BY document_id")
+def fingerprint(spark, d):
+    sample = FX.doc_pages(spark, d).filter("page_number <= 5").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p"))
+    return sample.select("document_id", F.sha2(F.array_join(F.transform("p", lambda x: x["text"]), ""), 256).alias("fingerprint"))
+
+
+# ---------------------------------------------------------------- trees
+
+_PARTIAL = "CASE WHEN entry_pos % 3 <> 2 THEN physical_index + CASE WHEN entry_pos % 4 = 0 THEN 1 ELSE 0 END END"
+
+
+@query(f"""WITH {_GATE}, half AS (SELECT * REPLACE ({_PARTIAL} AS physical_index) FROM toc_entries),
+  best AS (SELECT document_id, arg_max(o, n * 1000000 - f) AS o FROM (SELECT document_id, physical_index - page_number AS o, count(*) AS n, min(entry_pos) AS f FROM half WHERE physical_index IS NOT NULL GROUP BY ALL) GROUP BY document_id)
+  SELECT document_id, entry_pos, title, page_number, CASE WHEN physical_index IS NULL AND o IS NOT NULL THEN least(greatest(page_number + o, 1), total) ELSE physical_index END::INT AS physical_index FROM half LEFT JOIN best USING (document_id) JOIN about USING (document_id)""")
+def page_offset_mode(spark, d):
+    pages = FX.toc_pages(spark, d)
+    half = detect.by_contents(pages, CONFIG).withColumn("physical_index", F.expr(_PARTIAL))
+    return tree.apply_offset(half, pages).select("document_id", "entry_pos", "title", "page_number", "physical_index")
+
+
+def _nodes(entries: str, pages: str) -> str:
+    """Sections by self joins: the next entry of the same level or lower, the nearest earlier one of a lower level."""
+    return f"""srt AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(physical_index, page_number, 2147483647), entry_pos) AS pos, coalesce(physical_index, page_number) AS place FROM {entries}),
+tot AS (SELECT document_id, max(page_number) AS max_page FROM {pages} GROUP BY document_id),
+lead1 AS (SELECT document_id, (coalesce(place, 1) > 1)::INT AS front, coalesce(place, 1) AS first FROM srt WHERE pos = 1),
+rel AS (SELECT a.*, front, coalesce(a.last_content_page, max_page, 0) AS last, (SELECT min(b.pos) FROM srt b WHERE b.document_id = a.document_id AND b.pos > a.pos AND b.level <= a.level) AS nxt, (SELECT max(b.pos) FROM srt b WHERE b.document_id = a.document_id AND b.pos < a.pos AND b.level < a.level) AS par FROM srt a JOIN lead1 USING (document_id) LEFT JOIN tot USING (document_id)),
+sec AS (SELECT a.document_id, format('{{:04d}}', a.pos + a.front) AS node_id, CASE WHEN a.par IS NOT NULL THEN format('{{:04d}}', a.par + a.front) END AS parent_id, (a.pos + a.front)::INT AS preorder, a.level, a.title, coalesce(a.place, 1)::INT AS start_page,
+  CASE WHEN a.nxt IS NULL THEN a.last ELSE greatest(coalesce(n.place, coalesce(a.place, 1)) - 1, coalesce(a.place, 1)) END::INT AS end_page, NOT EXISTS (SELECT 1 FROM rel c WHERE c.document_id = a.document_id AND c.par = a.pos) AS is_leaf
+  FROM rel a LEFT JOIN srt n ON n.document_id = a.document_id AND n.pos = a.nxt
+  UNION ALL SELECT document_id, '0001', NULL, 1, 1, 'Front Matter', 1, first - 1, true FROM lead1 WHERE front = 1),
+up AS (SELECT document_id, node_id, parent_id AS a, [title] AS path, 1 AS depth FROM sec UNION ALL SELECT u.document_id, u.node_id, s.parent_id, list_prepend(s.title, u.path), u.depth + 1 FROM up u JOIN sec s ON s.document_id = u.document_id AND s.node_id = u.a),
+paths AS (SELECT document_id, node_id, path, depth::INT AS depth FROM up WHERE a IS NULL),
+txt AS (SELECT s.document_id, s.node_id, nullif(string_agg(p.text, chr(10) ORDER BY p.page_number), '') AS text FROM sec s JOIN {pages} p ON p.document_id = s.document_id AND p.page_number BETWEEN s.start_page AND s.end_page WHERE s.is_leaf GROUP BY ALL),
+nodes AS (SELECT sec.*, path, depth, text FROM sec JOIN paths USING (document_id, node_id) LEFT JOIN txt USING (document_id, node_id))"""
+
+
+_MD_NODES = f"WITH RECURSIVE {_HEADERS}, {_nodes('md_entries', 'md_pages')}"
+_TOC_NODES = f"WITH RECURSIVE {_GATE}, {_nodes('toc_entries', 'toc_pages')}"
+
+
+def _md_tree(spark, d) -> DataFrame:
+    pages = FX.md_pages(spark, d)
+    return tree.build(detect.by_headers(pages, CONFIG), pages)
+
+
+def _toc_tree(spark, d) -> DataFrame:
+    pages = FX.toc_pages(spark, d)
+    return tree.build(detect.by_contents(pages, CONFIG), pages)
+
+
+@query(f"{_MD_NODES} SELECT document_id, node_id, preorder, level, title, start_page, end_page FROM nodes")
+def tree_sections(spark, d):
+    pages = FX.md_pages(spark, d)
+    return tree.sections(detect.by_headers(pages, CONFIG), pages).select("document_id", "node_id", "preorder", "level", "title", "start_page", "end_page")
+
+
+@query(f"{_MD_NODES} SELECT document_id, node_id, parent_id, depth, is_leaf FROM nodes")
+def tree_parents(spark, d):
+    return _md_tree(spark, d).select("document_id", "node_id", "parent_id", "depth", "is_leaf")
+
+
+@query(f"{_MD_NODES} SELECT document_id, node_id, array_to_string(path, ' > ') AS breadcrumb FROM nodes")
+def tree_paths(spark, d):
+    return _md_tree(spark, d).select("document_id", "node_id", F.concat_ws(" > ", "path").alias("breadcrumb"))
+
+
+@query(f"{_MD_NODES} SELECT document_id, node_id, is_leaf, text FROM nodes")
+def tree_text(spark, d):
+    return _md_tree(spark, d).select("document_id", "node_id", "is_leaf", "text")
+
+
+@query(f"{_TOC_NODES} SELECT document_id, node_id, title, start_page, end_page, text FROM nodes")
+def front_matter(spark, d):
+    return _toc_tree(spark, d).select("document_id", "node_id", "title", "start_page", "end_page", "text")
+
+
+@query(f"""{_TOC_NODES} SELECT a.document_id, a.node_id, l.node_id AS leaf_id FROM nodes a JOIN up_ids l ON l.document_id = a.document_id AND l.anc = a.node_id""".replace("nodes AS (SELECT", "anc AS (SELECT document_id, node_id, node_id AS anc, parent_id FROM sec WHERE is_leaf UNION ALL SELECT x.document_id, x.node_id, s.node_id, s.parent_id FROM anc x JOIN sec s ON s.document_id = x.document_id AND s.node_id = x.parent_id), up_ids AS (SELECT document_id, node_id, anc FROM anc), nodes AS (SELECT", 1))
+def tree_leaves(spark, d):
+    nodes = _toc_tree(spark, d)
+    return tree.leaves(nodes, nodes.select("document_id", "node_id")).select("document_id", "node_id", "leaf_id")
+
+
+def _doc_nodes(spark, d) -> DataFrame:
+    """Flat sections of the documents; the oracle's table is flat_nodes."""
+    pages = FX.doc_pages(spark, d)
+    return tree.build(detect.by_flat_pages(pages, SMALL), pages)
+
+
+_FLAT_NODES = f"""WITH RECURSIVE {_CHUNKS}, flat_nodes AS (SELECT f.document_id, format('{{:04d}}', chunk + 1) AS node_id, (chunk + 1)::INT AS preorder, CASE WHEN first_page = last_page THEN 'Page ' || first_page ELSE 'Pages ' || first_page || '-' || last_page END AS title,
+  first_page AS start_page, last_page AS end_page, (SELECT nullif(string_agg(text, chr(10) ORDER BY page_number), '') FROM doc_pages p WHERE p.document_id = f.document_id AND p.page_number BETWEEN first_page AND last_page) AS text FROM flat f)"""
+
+
+@query(f"""{_FLAT_NODES}, w AS (SELECT document_id, node_id, title, start_page, end_page, text, 0 AS off, 0 AS i, NULL::VARCHAR AS part FROM flat_nodes WHERE length(text) > 700
+  UNION ALL SELECT document_id, node_id, title, start_page, end_page, text, e, i + 1, substr(text, off + 1, e - off) FROM (SELECT *, CASE WHEN off + 700 >= length(text) THEN length(text)
+    WHEN contains(bl, chr(10) || chr(10)) THEN off + 350 + length(bl) - instr(reverse(bl), chr(10) || chr(10)) + 1 WHEN contains(ln, chr(10)) THEN off + 350 + length(ln) - instr(reverse(ln), chr(10)) + 1 ELSE off + 700 END::INT AS e
+    FROM (SELECT *, substr(text, off + 351, 351) AS bl, substr(text, off + 351, 350) AS ln FROM w WHERE off < length(text)))),
+  n AS (SELECT *, max(i) OVER (PARTITION BY document_id, node_id) AS parts FROM w WHERE i > 0), per AS (SELECT *, greatest(1.0::DOUBLE, (end_page - start_page + 1)::DOUBLE / parts) AS p FROM n)
+  SELECT document_id, node_id || '_part_' || (i - 1) AS node_id, title || ' (Part ' || i || ')' AS title, (start_page + floor((i - 1) * p))::INT AS start_page, (CASE WHEN i = parts THEN end_page ELSE least(start_page + floor(i * p) - 1, end_page) END)::INT AS end_page, part AS text FROM per
+  UNION ALL SELECT document_id, node_id, title, start_page, end_page, CASE WHEN length(text) > 700 THEN NULL ELSE text END FROM flat_nodes""")
+def split_nodes(spark, d):
+    return tree.split_oversized(_doc_nodes(spark, d), 700).select("document_id", "node_id", "title", "start_page", "end_page", "text")
+
+
+@query(f"{_MD_NODES} SELECT document_id, count(*)::INT AS total_nodes, max(depth)::INT AS max_depth, (SELECT count(*) FROM md_pages p WHERE p.document_id = n.document_id)::INT AS total_pages FROM nodes n GROUP BY document_id")
+def tree_metadata(spark, d):
+    return tree.metadata(_md_tree(spark, d), FX.md_pages(spark, d))
+
+
+@query()
+def compact_tree_json(spark, d):
+    return tree.compact_json(_md_tree(spark, d))
+
+
+# ---------------------------------------------------------------- retrieval
+
+QUESTION = "the market that and of onanhe thing por der les"
+
+
+def _asked(nodes: DataFrame, text: str = QUESTION) -> DataFrame:
+    return nodes.select("document_id").distinct().select("document_id", F.lit("q1").alias("query_id"), F.lit(text).alias("query"))
+
+
+def _bm25(nodes: str, is_leaf: str, text: str = QUESTION) -> str:
+    return f"""corpus AS (SELECT document_id, node_id, preorder, list_filter(regexp_split_to_array(regexp_replace(lower(CASE WHEN {is_leaf} THEN title || '. ' || coalesce(text, '') ELSE title END), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2) AS toks FROM {nodes}),
+stats AS (SELECT document_id, count(*) AS n, greatest(avg(len(toks)), 1.0::DOUBLE) AS mean FROM corpus GROUP BY document_id),
+asked AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(string_split('{text}', ' ')) AS term) WHERE length(term) >= 2 GROUP BY term),
+tf AS (SELECT document_id, node_id, term, count(*) AS tf FROM (SELECT document_id, node_id, unnest(toks) AS term FROM corpus) SEMI JOIN asked USING (term) GROUP BY ALL),
+df AS (SELECT document_id, term, count(*) AS df FROM tf GROUP BY ALL),
+words AS (SELECT c.document_id, 'q1' AS query_id, c.node_id, c.preorder, coalesce(round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(toks) / mean))), 6), 0) AS score
+  FROM corpus c JOIN stats USING (document_id) LEFT JOIN tf USING (document_id, node_id) LEFT JOIN df USING (document_id, term) LEFT JOIN asked USING (term) GROUP BY ALL)"""
+
+
+@query(f"{_FLAT_NODES}, {_bm25('flat_nodes', 'true')} SELECT * FROM words")
+def bm25_scores(spark, d):
+    nodes = _doc_nodes(spark, d)
+    return retrieve.bm25(nodes, _asked(nodes))
+
+
+@query(f"{_FLAT_NODES}, {_bm25('flat_nodes', 'true')} SELECT document_id, node_id, title, start_page, end_page, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY score DESC, preorder) - 1)::INT AS rank FROM words) JOIN flat_nodes USING (document_id, node_id) WHERE rank < 5")
+def bm25_topk(spark, d):
+    nodes = _doc_nodes(spark, d)
+    best = retrieve.top(retrieve.bm25(nodes, _asked(nodes))).select("document_id", "node_id", "score", "rank")
+    return best.join(nodes.select("document_id", "node_id", "title", "start_page", "end_page"), ["document_id", "node_id"]).select("document_id", "node_id", "title", "start_page", "end_page", "score", "rank")
+
+
+def _vector_queries(spark, d) -> DataFrame:
+    one = FX.table(spark, d, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("vector"))
+    docs = FX.vectors(spark, d).select("document_id").distinct()
+    return docs.join(F.broadcast(one), F.lit(True)).select("document_id", F.lit("q1").alias("query_id"), "vector")
+
+
+_COSINE = f"""{FX.VECTORS}, one AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+cosines AS (SELECT document_id, 'q1' AS query_id, node_id, preorder, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: embedding[i]::DOUBLE * v[i]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS score FROM vectors, one)"""
+
+
+@query(f"WITH {_COSINE} SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY score DESC, preorder) - 1)::INT AS rank FROM cosines")
+def cosine_rank(spark, d):
+    nodes = FX.vectors(spark, d)
+    return retrieve.ranked(retrieve.by_cosine(nodes.drop("embedding"), nodes, _vector_queries(spark, d)))
+
+
+@query(f"WITH {FX.VECTORS}, e AS (SELECT document_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM vectors), m AS (SELECT document_id, i, avg(v::DOUBLE) AS v FROM e GROUP BY ALL) SELECT document_id, list(round(v, 6) ORDER BY i) AS embedding FROM m GROUP BY document_id")
+def mean_pooled(spark, d):
+    return mean_pool(FX.vectors(spark, d), ["document_id"]).select("document_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+def _fused(words: str, cosines: str) -> str:
+    return f"""wr AS (SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY score DESC, preorder) - 1 AS r FROM {words}),
+vr AS (SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY score DESC, preorder) - 1 AS r FROM {cosines}),
+fused AS (SELECT document_id, query_id, node_id, coalesce(wr.preorder, vr.preorder) AS preorder, round(coalesce(1.0::DOUBLE / (60 + wr.r), 0) + coalesce(1.0::DOUBLE / (60 + vr.r), 0), 9) AS score, coalesce(wr.r, 2147483647)::INT AS word_rank FROM wr FULL JOIN vr USING (document_id, query_id, node_id))"""
+
+
+_OTHER = "others AS (SELECT document_id, query_id, node_id, preorder, ((preorder * 7919) % 101)::DOUBLE AS score FROM cosines WHERE preorder % 3 <> 0)"
+
+
+@query(f"WITH {_COSINE}, {_OTHER}, {_fused('others', 'cosines')} SELECT * FROM fused")
+def rrf_merge(spark, d):
+    nodes = FX.vectors(spark, d)
+    cosines = retrieve.by_cosine(nodes.drop("embedding"), nodes, _vector_queries(spark, d))
+    others = cosines.filter("preorder % 3 <> 0").withColumn("score", ((F.col("preorder") * 7919) % 101).cast("double"))
+    return retrieve.fuse(others, cosines)
+
+
+_MD_QUESTION = "goods for market trade automobile customer"
+_VECTOR = "[length(title)::DOUBLE, preorder::DOUBLE, level::DOUBLE]"
+
+
+@query(f"""{_MD_NODES}, {_bm25('nodes', 'is_leaf', _MD_QUESTION)}, cosines AS (SELECT document_id, 'q1' AS query_id, node_id, preorder, round((length(title) * 9.0::DOUBLE + preorder * 4.0::DOUBLE + level * 2.0::DOUBLE) / (sqrt(length(title)::DOUBLE * length(title) + preorder::DOUBLE * preorder + level::DOUBLE * level) * sqrt(101.0::DOUBLE)), 6) AS score FROM nodes),
+  {_fused('words', 'cosines')}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, word_rank, preorder) - 1 AS rank FROM fused) WHERE rank < 5),
+  anc AS (SELECT document_id, node_id AS leaf, node_id AS a, parent_id FROM nodes WHERE is_leaf UNION ALL SELECT x.document_id, x.leaf, s.node_id, s.parent_id FROM anc x JOIN nodes s ON s.document_id = x.document_id AND s.node_id = x.parent_id),
+  lv AS (SELECT b.document_id, leaf, min(rank) AS rank FROM best b JOIN anc ON anc.document_id = b.document_id AND anc.a = b.node_id GROUP BY ALL),
+  ctx AS (SELECT lv.document_id, string_agg('--- ' || array_to_string(path, ' > ') || ' (Pages ' || start_page || '-' || end_page || ') ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY start_page, rank, preorder) AS sections_text, list_sort(list_distinct(flatten(list(range(start_page, end_page + 1)))))::INT[] AS source_pages FROM lv JOIN nodes n ON n.document_id = lv.document_id AND n.node_id = lv.leaf GROUP BY lv.document_id)
+  SELECT document_id, 'q1' AS query_id, (SELECT list(node_id ORDER BY rank) FROM best WHERE best.document_id = ctx.document_id) AS selected_node_ids, '' AS reasoning, sections_text, source_pages FROM ctx""")
+def hybrid_context(spark, d):
+    nodes = _md_tree(spark, d).persist()
+    vectors = nodes.select("document_id", "node_id", F.expr("array(cast(length(title) as double), cast(preorder as double), cast(level as double))").alias("embedding"))
+    queries = _asked(nodes, _MD_QUESTION).withColumn("vector", F.array(F.lit(9.0), F.lit(4.0), F.lit(2.0)))
+    return retrieve.hybrid(nodes, vectors, queries)
+
+
+@query(f"""{_MD_NODES}, ids(node_id) AS (VALUES ('0007'), ('0002'), ('0004')), got AS (SELECT * FROM nodes SEMI JOIN ids USING (node_id))
+  SELECT document_id, 'q1' AS query_id, list(node_id ORDER BY preorder) AS selected_node_ids, 'because' AS reasoning, string_agg('--- Section: ' || title || ' (Pages ' || start_page || '-' || end_page || ') ---' || chr(10) || coalesce(text, ''), chr(10) ORDER BY preorder) AS sections_text,
+  list_sort(list_distinct(flatten(list(range(start_page, end_page + 1)))))::INT[] AS source_pages FROM got GROUP BY document_id""")
+def select_nodes(spark, d):
+    nodes = _md_tree(spark, d)
+    chosen = nodes.select("document_id").distinct().select("document_id", F.lit("q1").alias("query_id"), F.array(F.lit("0007"), F.lit("9999"), F.lit("0002"), F.lit("0004")).alias("node_ids"), F.lit("because").alias("reasoning"))
+    return retrieve.select_nodes(nodes, chosen).withColumn("source_pages", F.array_sort("source_pages"))
+
+
+@query("SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS query FROM conversations GROUP BY conv_id")
+def last_user_message(spark, d):
+    return retrieve.last_user_message(FX.table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '') AS system, count(*) FILTER (WHERE role <> 'system') AS n_others FROM conversations GROUP BY conv_id")
+def split_roles(spark, d):
+    return retrieve.split_roles(FX.table(spark, d, "conversations"))
