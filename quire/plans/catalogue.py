@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.config import IndexingConfig
+from quire.functions import json_clean as J
 from quire.functions import text as X
 from quire.functions.vectors import mean_pool
-from quire.operators import detect, retrieve, tree
+from quire.models.chat import RuleModel
+from quire.operators import answer, detect, retrieve, store, tree, with_model
 from quire.sources import fixtures as FX
 from quire.sources import pages as P
 
@@ -435,3 +438,149 @@ def last_user_message(spark, d):
 @query("SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '') AS system, count(*) FILTER (WHERE role <> 'system') AS n_others FROM conversations GROUP BY conv_id")
 def split_roles(spark, d):
     return retrieve.split_roles(FX.table(spark, d, "conversations"))
+
+
+# ---------------------------------------------------------------- replies, models, stores, evaluation
+
+
+@query(f"""WITH {FX.REPLIES}, c AS (SELECT id, response, CASE WHEN regexp_matches(response, '```(?:json)?\\s*\\n([\\s\\S]*?)\\n\\s*```') THEN trim(regexp_extract(response, '```(?:json)?\\s*\\n([\\s\\S]*?)\\n\\s*```', 1)) ELSE trim(response) END AS t FROM replies),
+  f AS (SELECT id, regexp_replace(regexp_replace(t, ',\\s*\\}}', '}}', 'g'), '\\bNone\\b', 'null', 'g') AS t FROM c), g AS (SELECT id, CASE WHEN starts_with(t, '{{') OR NOT contains(t, '{{') THEN t ELSE substr(t, instr(t, '{{'), length(t) - instr(reverse(t), '}}') - instr(t, '{{') + 2) END AS cleaned FROM f)
+  SELECT id, cleaned, json_valid(cleaned) AS valid, CASE WHEN json_valid(cleaned) THEN json_extract_string(cleaned, '$.eventType') END AS event_type, CASE WHEN json_valid(cleaned) THEN json_extract_string(cleaned, '$.userId') END AS user_id FROM g""")
+def json_clean(spark, d):
+    rows = FX.replies(spark, d).select("id", J.cleaned(F.col("response")).alias("cleaned"))
+    fields = J.snake_map(F.col("cleaned"))
+    return rows.select("id", "cleaned", J.valid(F.col("cleaned")).alias("valid"), fields["event_type"].alias("event_type"), fields["user_id"].alias("user_id"))
+
+
+@query(f"""WITH {FX.REPLIES} SELECT id, CASE WHEN id % 4 <> 3 THEN ['event_type', 'max_http_size', 'user_id'] END AS keys FROM replies""")
+def json_keys_snake(spark, d):
+    rows = FX.replies(spark, d).select("id", J.cleaned(F.col("response")).alias("c"))
+    return rows.select("id", F.array_sort(F.map_keys(J.snake_map(F.col("c")))).alias("keys"))
+
+
+@query("SELECT p_partkey, 'Part ' || p_name || ' of ' || p_brand || ' for {{other}}' AS prompt FROM part")
+def prompt_render(spark, d):
+    return FX.table(spark, d, "part").select("p_partkey", X.rendered("Part {{name}} of {{brand}} for {{other}}", name=F.col("p_name"), brand=F.col("p_brand")).alias("prompt"))
+
+
+@query(f"WITH {FX.DOC_PAGES} SELECT document_id, page_number, ((page_number - 1) // 10)::INT AS batch FROM doc_pages")
+def batches(spark, d):
+    return FX.doc_pages(spark, d).select("document_id", "page_number", X.batch_number(F.col("page_number"), 10).alias("batch"))
+
+
+def _first_words(messages, tags):
+    """A stand-in for a summariser: the first line behind each heading, cut to 40 characters."""
+    import json
+    import re
+
+    found = re.findall(r"(?m)^\[([^\]]+)\] [^\n]*\n([^\n]*)", messages[-1][1])
+    return json.dumps({"items": [{"node_id": i, "summary": t[:40]} for i, t in found]})
+
+
+@query(f"""{_MD_NODES}, s1 AS (SELECT document_id, node_id, parent_id, preorder, is_leaf, title, CASE WHEN is_leaf THEN left(string_split(text, chr(10))[1], 40) END AS summary FROM nodes),
+  kid AS (SELECT document_id, parent_id AS node_id, arg_min('- ' || title || ': ' || coalesce(summary, '(no summary)'), preorder) AS line FROM s1 WHERE parent_id IS NOT NULL GROUP BY document_id, parent_id)
+  SELECT s1.document_id, s1.node_id, CASE WHEN is_leaf THEN summary ELSE left(line, 40) END AS summary FROM s1 LEFT JOIN kid USING (document_id, node_id)""")
+def summaries(spark, d):
+    return with_model.summarize(_md_tree(spark, d).persist(), RuleModel(_first_words), CONFIG).select("document_id", "node_id", "summary")
+
+
+def _contains(messages, tags):
+    """A stand-in for a checker: a title belongs on the page whose text holds it without its number."""
+    import json
+    import re
+
+    title, shown = re.search(r"section called \S+ (.*?) start", messages[-1][1])[1], messages[-1][1].split("\n\n", 1)[1]
+    if "fix" in tags:
+        at = next((n for n, t in re.findall(r"(?s)<physical_index_(\d+)>(.*?)</physical_index_\1>", shown) if title in t), None)
+        return json.dumps({"thinking": "", "physical_index": f"<physical_index_{at}>" if at else ""})
+    return json.dumps({"thinking": "", "answer": "yes" if title in shown else "no"})
+
+
+_SHIFTED = "physical_index + CASE WHEN entry_pos % 3 = 1 AND physical_index > 2 THEN 1 ELSE 0 END"
+_CHECKED = f"""WITH {_GATE}, e AS (SELECT * REPLACE (({_SHIFTED})::INT AS physical_index) FROM toc_entries),
+  v AS (SELECT e.document_id, entry_pos, title, physical_index, p.text IS NOT NULL AS checked, coalesce(contains(p.text, regexp_replace(title, '^\\S+ ', '')), true) AS correct FROM e LEFT JOIN toc_pages p ON p.document_id = e.document_id AND p.page_number = physical_index)"""
+
+
+def _shifted(spark, d):
+    pages = FX.toc_pages(spark, d)
+    return pages, detect.by_contents(pages, CONFIG).withColumn("physical_index", F.expr(_SHIFTED).cast("int"))
+
+
+@query(f"{_CHECKED} SELECT * FROM v")
+def toc_verify(spark, d):
+    pages, entries = _shifted(spark, d)
+    return with_model.verify(entries, pages, RuleModel(_contains))
+
+
+@query(f"{_CHECKED} SELECT document_id, avg(correct::INT::DOUBLE) AS accuracy FROM v GROUP BY document_id")
+def toc_accuracy(spark, d):
+    pages, entries = _shifted(spark, d)
+    return with_model.accuracy(with_model.verify(entries, pages, RuleModel(_contains)))
+
+
+@query(f"""{_CHECKED}, w AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY entry_pos) AS k FROM v WHERE NOT correct),
+  n AS (SELECT w.document_id, entry_pos, min(page_number) AS new FROM w JOIN toc_pages p ON p.document_id = w.document_id AND page_number BETWEEN physical_index - 3 AND physical_index + 3 AND contains(p.text, regexp_replace(title, '^\\S+ ', '')) WHERE k <= 2 GROUP BY ALL)
+  SELECT e.document_id, e.entry_pos, e.title, coalesce(new, physical_index)::INT AS physical_index FROM e LEFT JOIN n USING (document_id, entry_pos)""")
+def toc_fix(spark, d):
+    pages, entries = _shifted(spark, d)
+    verified = with_model.verify(entries, pages, RuleModel(_contains))
+    return with_model.fix(entries, verified, pages, RuleModel(_contains), CONFIG).select("document_id", "entry_pos", "title", "physical_index")
+
+
+@query("WITH old AS (SELECT doc_id::VARCHAR AS document_id, 'old' AS version, n_chars FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id::VARCHAR AS document_id, 'new' AS version, n_chars FROM documents WHERE doc_id % 2 = 0) SELECT * FROM old ANTI JOIN new USING (document_id) UNION ALL SELECT * FROM new")
+def store_upsert(spark, d):
+    docs = FX.table(spark, d, "documents")
+    rows = lambda keep, name: docs.filter(keep).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(name).alias("version"), "n_chars")
+    return store.upsert(rows("doc_id % 3 <> 0", "old"), rows("doc_id % 2 = 0", "new"))
+
+
+@query("SELECT doc_id::VARCHAR AS document_id, CASE WHEN doc_id % 3 <> 0 THEN 'stored' ELSE 'built' END AS origin FROM documents")
+def build_if_absent(spark, d):
+    docs = FX.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id")
+    stored = docs.filter("doc_id % 3 <> 0").select("document_id", F.lit("stored").alias("origin"))
+    return stored.unionByName(docs.join(stored, "document_id", "left_anti").select("document_id", F.lit("built").alias("origin")))
+
+
+@query("SELECT user_id AS key, max(event_id) AS last_used FROM events GROUP BY user_id ORDER BY last_used DESC, key LIMIT 25")
+def lru_evict(spark, d):
+    return store.most_recent(FX.table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("last_used")), 25, at="last_used")
+
+
+@query(f"""WITH {FX.JUDGED} SELECT count(*) AS total_questions, count_if(score = 'CORRECT')::BIGINT AS correct, count_if(score = 'PARTIALLY_CORRECT')::BIGINT AS partial, count_if(score = 'INCORRECT')::BIGINT AS incorrect, count_if(score = 'ERROR')::BIGINT AS errors,
+  round(count_if(score = 'CORRECT')::DOUBLE / count(*), 6) AS accuracy, round(count_if(score IN ('CORRECT', 'PARTIALLY_CORRECT'))::DOUBLE / count(*), 6) AS lenient_accuracy, floor(avg(query_ms))::BIGINT AS avg_query_ms, floor(avg(DISTINCT index_ms))::BIGINT AS avg_index_ms FROM judged""")
+def bench_summary(spark, d):
+    return answer.summary(FX.judged(spark, d))
+
+
+def _assistant(messages, tags):
+    """A stand-in for a reader: picks the third section, answers with the length of what it is shown."""
+    import json
+
+    if "node-selection" in tags:
+        return json.dumps({"selected_node_ids": ["0003"], "reasoning": "third"})
+    return json.dumps({"answer": f"{len(messages[1][1])} characters", "reasoning": "counted"})
+
+
+def _contexts(spark, d):
+    nodes = _md_tree(spark, d).persist()
+    return answer.search(nodes, tree.compact_json(nodes), _asked(nodes, _MD_QUESTION), RuleModel(_assistant))
+
+
+@query()
+def text_query(spark, d):
+    return answer.answer(_contexts(spark, d), RuleModel(_assistant))
+
+
+@query()
+def typed_query(spark, d):
+    schema = T.StructType.fromDDL("answer string, reasoning string")
+    return answer.typed(answer.answer(_contexts(spark, d), RuleModel(_assistant), schema), schema)
+
+
+@query(f"""{_MD_NODES}, e AS (SELECT document_id, node_id, parent_id, depth, [length(title || ': ' || text)::DOUBLE, 1.0::DOUBLE] AS v FROM nodes WHERE is_leaf AND text IS NOT NULL),
+  p2 AS (SELECT n.document_id, n.node_id, n.parent_id, [avg(e.v[1]), 1.0::DOUBLE] AS v FROM nodes n JOIN e ON e.document_id = n.document_id AND e.parent_id = n.node_id WHERE n.depth = 2 GROUP BY ALL),
+  p1 AS (SELECT n.document_id, n.node_id, [avg(c.v[1]), 1.0::DOUBLE] AS v FROM nodes n JOIN (SELECT document_id, parent_id, v FROM p2 UNION ALL SELECT document_id, parent_id, v FROM e WHERE depth = 2) c ON c.document_id = n.document_id AND c.parent_id = n.node_id WHERE n.depth = 1 GROUP BY ALL)
+  SELECT document_id, node_id, list_transform(v, lambda x: round(x, 6)) AS embedding FROM (SELECT document_id, node_id, v FROM e UNION ALL SELECT document_id, node_id, v FROM p2 UNION ALL SELECT * FROM p1)""")
+def embed_nodes(spark, d):
+    made = with_model.embed(_md_tree(spark, d).persist(), lambda texts: [[len(t), 1.0] for t in texts])
+    return made.select("document_id", "node_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
