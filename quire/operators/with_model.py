@@ -67,15 +67,13 @@ def _tagged(pages: list[tuple[int, str]]) -> list[tuple[int, str]]:
 
 
 def _per_document(pages: DataFrame, one: Callable[[str, list[tuple[int, str]]], pd.DataFrame | None], schema: T.StructType = FOUND) -> DataFrame:
-    empty = pd.DataFrame({f.name: [] for f in schema})
-
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("page_number")
         try:
             found = one(frame["document_id"].iloc[0], list(zip(frame["page_number"].tolist(), frame["text"].fillna("").tolist(), strict=True)))
         except Exception:  # a provider's failure leaves the document to the next detector
             found = None
-        return empty if found is None else found
+        return pd.DataFrame() if found is None else found
 
     return pages.select("document_id", "page_number", "text").groupBy("document_id").applyInPandas(run, schema)
 
