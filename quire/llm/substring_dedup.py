@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.llm import common
 
 WINDOW = 20
-MINIMISER = 6
+MINIMISER = 4
 #: Bytes of text a task packs at once; also the scope of the first, local comparison.
 PACK = 4 << 20
 #: Buckets for each shuffle partition.
