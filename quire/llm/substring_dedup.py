@@ -26,7 +26,7 @@ MINIMISER = 4
 #: Bytes of text a task packs at once; also the scope of the first, local comparison.
 PACK = 4 << 20
 #: Buckets for each shuffle partition.
-BUCKETS = 4
+BUCKETS = 8
 #: About so many texts are looked at for common minimisers, and one in so many of them makes a minimiser common.
 SAMPLE_TEXTS, COMMON_IN = 2_000, 100
 #: Ranks rows without an id behind all others.
