@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_place(rows: DataFrame) -> DataFrame:
+    """The rows with their columns called _0, _1, ..., so that no name of theirs can clash with an operator's."""
+    return rows.toDF(*(f"_{i}" for i in range(len(rows.columns))))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none.  Runs inside code generation."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

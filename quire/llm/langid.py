@@ -65,8 +65,8 @@ def lowered(column: pa.Array) -> pa.Array:
 
 def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Learn from the usable rows with a text and a language; about FIT_ROWS of each language at most."""
-    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()
+    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_own"))
+    counts = rows.groupBy("_own").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = tuple(sorted(str(r[0]) for r in counts))
@@ -75,8 +75,8 @@ def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str =
     index = {lang: i for i, lang in enumerate(languages)}
     spark = docs.sparkSession
     share = spark.createDataFrame([(r[0], index[str(r[0])], min(1.0, FIT_ROWS / r[1])) for r in counts], f"_lang {docs.schema[lang_col].dataType.simpleString()}, _index int, _share double")
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(F.broadcast(share), rows[lang_col] == F.col("_lang")).filter(chance < F.col("_share")).select(F.col(text_col).alias("_text"), "_index")
+    chance = F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.join(F.broadcast(share), F.col("_own") == F.col("_lang")).filter(chance < F.col("_share")).select("_text", "_index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * BUCKETS, np.int64)
@@ -150,12 +150,12 @@ def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tuple[
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns in keep (all by default) with lang_pred, score and n_langs.
+    """The columns in keep (all by default) with lang_pred, score and n_langs, which replace columns so called.
 
     A null text, or one without a letter, gets "und", 0.0 and 0, as does any text if no language was learned.
     Rows are judged one by one, so repeated rows agree; an empty table gives an empty result.
     """
-    keep = docs.columns if keep is None else list(keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "n_langs")]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_langs", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     n = len(keep)
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
                 best[none], score[none], size[none] = -1, 0.0, 0
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:n]), pa.array(names[best], pa.string()), pa.array(score), pa.array(size.astype(np.int32))], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_t")).mapInArrow(run, schema)
 
 
 def held_out() -> Column:
@@ -188,6 +188,6 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_language(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
     """The rows, unchanged, of which one learned language makes up at least the given share."""
-    clear = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns)})
+    clear = common.by_place(docs)
     found = identify(clear, model, text_col=f"_{docs.columns.index('text')}").filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return found.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return found.select(*clear.columns).toDF(*docs.columns)

@@ -284,8 +284,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without an id are kept, once for each text, only where no row with an id is close to them.
     """
     found = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
-    named = docs.join(stay, docs.doc_id == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
-    alone = found.filter("component_id is null").limit(1)
-    nameless = docs.filter("doc_id is null").join(F.broadcast(alone.select(F.lit(True).alias("_any"))), F.lit(True), "left_semi").dropDuplicates(["text"])
-    return named.unionByName(nameless)
+    clear = common.by_place(docs)
+    ident, text = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    stay = found.filter("doc_id = component_id").select("doc_id")
+    named = clear.join(stay, F.col(ident) == F.col("doc_id"), "left_semi").dropDuplicates([ident])
+    alone = found.filter("component_id is null").limit(1).select(F.lit(True).alias("any"))
+    nameless = clear.filter(F.col(ident).isNull()).join(F.broadcast(alone), F.lit(True), "left_semi").dropDuplicates([text])
+    return named.unionByName(nameless).toDF(*docs.columns)
