@@ -1,7 +1,8 @@
 """Sharding by a keyed permutation of global row numbers.
 
-A row's number is its rank by md5 of its id; the rank needs one shuffle of narrow rows over buckets of the
-md5's leading digits, whose offsets are counted first.  A Feistel network permutes the numbers; a number that
+A row's number is its rank by md5 of its id and carried values, so rows of one id spread like any others.  Equal
+rows are counted first, which reads the table once; the rank needs one more shuffle of the narrow rows left, over
+buckets of the md5's leading digits, whose offsets come from the counted rows.  A Feistel network permutes the numbers; a number that
 leaves the table is sent through again until it is inside (cycle walking), so the result is a permutation of
 exactly 0 .. n-1.  Place p goes to shard p mod k, slot p div k.  ``place_of`` and ``number_of`` compute either
 way without reading any data.
@@ -13,15 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.llm import common
+from quire.llm.mixing import checkpointed
 
 ROUNDS = 4
 #: Rows of a rank bucket that are aimed at.
 BUCKET_ROWS = 2_000
+#: Equal rows that are numbered at once; a longer run is cut, and its parts go to several tasks.
+RUN = 10_000
 _LOW = (1 << 32) - 1
 
 
@@ -84,35 +88,42 @@ def rank_digits(n: int) -> int:
     return digits
 
 
+def _ident(keys: list[str]) -> Column:
+    return F.md5(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys)).cast("binary"))
+
+
 def shuffle_shards(rows: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Number, permute and place every row: id, the carried columns, row_number, place, shard and slot.
 
     Shards differ by one row at most, and slots have no gap.  Equal rows are counted before the shuffle and
-    expanded behind it, so copies of one row don't meet in a task; they take neighbouring numbers.  Null ids
-    rank as the empty text.  An empty table gives an empty result.
+    expanded behind it, RUN at a time, so copies of one row don't meet in a task; they take neighbouring numbers.
+    Null ids and values rank as the empty text.  An empty table gives an empty result.
     """
     spark = rows.sparkSession
-    ident = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    total = rows.select(F.count(F.lit(1))).first()[0]
-    digits = rank_digits(total)
-    # reads the id column alone; at most 65,536 counts come back
-    counts = dict(rows.groupBy(F.substring(ident, 1, digits).alias("b")).count().collect())
+    keys = [id_col, *carry]
+    grouped = rows.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
+    grouped = checkpointed(grouped.withColumn("_md5", _ident(keys)))
+    total, longest = grouped.agg(F.coalesce(F.sum("_copies"), F.lit(0)), F.coalesce(F.max("_copies"), F.lit(0))).first()
+    bucket = F.substring("_md5", 1, rank_digits(total))
+    # at most 65,536 sums come back
+    counts = dict(grouped.groupBy(bucket.alias("b")).agg(F.sum("_copies")).collect())
     starts, at = [], 0
     for b in sorted(counts):
         starts.append((b, at))
         at += counts[b]
     offsets = spark.createDataFrame(starts, "_bucket string, _offset long")
-    keys = [id_col, *carry]
-    grouped = rows.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
     order = ["_md5", *(F.col(c).asc_nulls_first() for c in keys)]
     before = F.sum("_copies").over(W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    numbered = (
-        grouped.withColumn("_md5", ident)
-        .withColumn("_bucket", F.substring("_md5", 1, digits))
+    first = F.col("_offset") + F.col("_before")
+    runs = (
+        grouped.withColumn("_bucket", bucket)
         .withColumn("_before", F.coalesce(before, F.lit(0)))
         .join(F.broadcast(offsets), "_bucket")
-        .select(*keys, F.explode(F.sequence(F.col("_offset") + F.col("_before"), F.col("_offset") + F.col("_before") + F.col("_copies") - 1)).alias("row_number"))
+        .select(*keys, (first + F.col("_copies") - 1).alias("_last"), F.explode(F.sequence(first, first + F.col("_copies") - 1, F.lit(RUN).cast("long"))).alias("_first"))
     )
+    if longest > RUN:
+        runs = runs.repartition("_first")
+    numbered = runs.select(*keys, F.explode(F.sequence("_first", F.least(F.col("_first") + (RUN - 1), F.col("_last")))).alias("row_number"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema), "place long, shard int, slot long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +164,7 @@ WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 bytes AS (SELECT doc_id, octet_length(encode(text)) AS len, hex(encode(text)) AS h FROM d),
 sized AS (SELECT doc_id, (len + 8)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM bytes, crc_table),
-ranked AS (SELECT *, row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size, text_crc32) - 1 AS n FROM sized),
+ranked AS (SELECT *, row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32), doc_id NULLS FIRST, size, text_crc32) - 1 AS n FROM sized),
 size AS (SELECT total, bits, (1::BIGINT << bits) - 1 AS mask FROM (SELECT count(*) AS total, greatest(1, (length(ltrim(bin(greatest(count(*) - 1, 1)), '0')) + 1) // 2)::BIGINT AS bits FROM documents)),
 start AS (SELECT n, total, bits, mask, n AS x FROM ranked, size),
 walk AS (({step.format(src="start")}) UNION ALL ({step.format(src="(SELECT * FROM walk WHERE x >= total)")})),

@@ -128,6 +128,18 @@ def test_sharding(spark):
     assert sharding.shard_documents(empty(spark), 4, 17).count() == 0
 
 
+def test_sharding_of_hot_ids_and_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    docs = [(None, f"t{i}") for i in range(300)] + [(5, "same")] * 200 + [(i, "x") for i in range(100)]
+    got = sharding.shuffle_shards(spark.createDataFrame(docs, "doc_id long, text string"), 6, carry=("text",)).collect()
+    assert sorted(r.row_number for r in got) == list(range(600)) == sorted(r.place for r in got)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(docs, key=str)
+    run = sorted(r.row_number for r in got if r.text == "same")
+    assert run == list(range(run[0], run[0] + 200))
+    spread = sorted(r.row_number for r in got if r.doc_id is None)
+    assert spread[-1] - spread[0] > 400  # rows of one id aren't one block of ranks
+
+
 def test_urls(spark, monkeypatch):
     urls = ["http://a.example.NET/en/x?q", "https://example.net/de/", "ftp://net", "http://xnet/", "http://b.example.com/de/1#a", "no url", None, "", "http://É.org/fr/", "x://y://org/fr/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))
