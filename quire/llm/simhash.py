@@ -276,18 +276,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their component, once each: every group keeps its least id.
-
-    Rows without an id are kept, once for each text, only where no row with an id is close to them.
-    """
-    found = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    clear = common.by_place(docs)
-    ident, text = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
-    stay = found.filter("doc_id = component_id").select("doc_id")
-    named = clear.join(stay, F.col(ident) == F.col("doc_id"), "left_semi").dropDuplicates([ident])
-    alone = found.filter("component_id is null").limit(1).select(F.lit(True).alias("any"))
-    nameless = clear.filter(F.col(ident).isNull()).join(F.broadcast(alone), F.lit(True), "left_semi").dropDuplicates([text])
-    return named.unionByName(nameless).toDF(*docs.columns)
