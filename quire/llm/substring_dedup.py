@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import common
+from quire.llm.mixing import checkpointed
 
 WINDOW = 20
 MINIMISER = 4
@@ -31,6 +32,8 @@ BUCKETS = 8
 SAMPLE_TEXTS, COMMON_IN = 2_000, 100
 #: Ranks rows without an id behind all others.
 _NO_ID = (1 << 63) - 1
+#: Ids with different texts that are sent to all tasks rather than shuffled.
+SENT = 1_000_000
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,17 +104,17 @@ def later_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
     return later
 
 
-def _pack(doc: np.ndarray, place: np.ndarray, length: np.ndarray, text: np.ndarray) -> bytes:
+def _pack(doc: np.ndarray, key: np.ndarray, place: np.ndarray, length: np.ndarray, text: np.ndarray) -> bytes:
     head = np.array([len(doc)], "<i8").tobytes()
-    raw = head + doc.astype("<i8").tobytes() + place.astype("<i8").tobytes() + length.astype("<i8").tobytes() + text.tobytes()
+    raw = head + doc.astype("<i8").tobytes() + key.astype("<i8").tobytes() + place.astype("<i8").tobytes() + length.astype("<i8").tobytes() + text.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = pa.decompress(block[8:], decompressed_size=int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    doc, place, length = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
-    return doc, place, length, np.frombuffer(raw, np.uint8, offset=8 + 24 * n)
+    doc, key, place, length = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n)
+    return doc, key, place, length, np.frombuffer(raw, np.uint8, offset=8 + 32 * n)
 
 
 def _minimisers(hashes: np.ndarray, text: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,13 +146,25 @@ def common_minimisers(docs: DataFrame, id_col: str, text_col: str, k: int, m: in
     return np.sort(np.array([r.v for r in found.select("v").limit(100_000).collect()], np.int64).view(np.uint64))
 
 
-def packed(docs: DataFrame, n_buckets: int, often: np.ndarray, k: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, kind, block): packed super-k-mers (kind 0), and runs of windows already known to be later (kind 1)."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text and key of every row: a hash of the text where the id is null or has different texts, else 0."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    clash = rows.filter("id is not null").groupBy("id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi")
+    clash = checkpointed(clash.select(F.col("id").alias("clash")))
+    few = F.broadcast(clash) if clash.count() <= SENT else clash
+    key = F.when(F.col("id").isNull() | F.col("clash").isNotNull(), own).otherwise(F.lit(0).cast("long"))
+    return rows.join(few, F.col("id") == F.col("clash"), "left").select("id", "text", key.alias("key"))
+
+
+def packed(docs: DataFrame, n_buckets: int, often: np.ndarray, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+    """(bucket, kind, block): packed super-k-mers (kind 0), and runs of windows already known to be later (kind 1); docs as keyed."""
     names = ["bucket", "kind", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in common.chunks(batch.column(1), PACK):
                 data, starts, ends, text = normalised(data, offsets)
                 if not len(starts):
@@ -159,18 +174,18 @@ def packed(docs: DataFrame, n_buckets: int, often: np.ndarray, k: int = WINDOW,
                 if not len(window):
                     continue
                 whole = common.gram_hashes(hashes, k)[window]
-                doc = ids[lo:hi][text[window]]
+                doc, key = ids[lo:hi][text[window]], keys[lo:hi][text[window]]
                 place = window - np.searchsorted(text, text[window])  # first words of texts are where text changes
                 later = later_windows(data, starts, ends, whole, window, doc, place, k)
                 made: list[tuple[int, int, bytes]] = []
                 gone = np.flatnonzero(later)
                 first, last = _runs(text[window[gone]], at=window[gone])
                 if len(first):
-                    d, p, n = doc[gone[first]], place[gone[first]], last - first
+                    d, x, p, n = doc[gone[first]], key[gone[first]], place[gone[first]], last - first
                     to = (common.mix(d.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
                     for b in np.unique(to):
                         some = to == b
-                        made.append((int(b), 1, _pack(d[some], p[some], n[some], np.empty(0, np.uint8))))
+                        made.append((int(b), 1, _pack(d[some], x[some], p[some], n[some], np.empty(0, np.uint8))))
                 stay = np.flatnonzero(~later)
                 route = least[stay]
                 if len(often):
@@ -182,23 +197,23 @@ def packed(docs: DataFrame, n_buckets: int, often: np.ndarray, k: int = WINDOW,
                     to = (common.mix(route[first]) % np.uint64(n_buckets)).astype(np.int64)
                     order = np.argsort(to, kind="stable")
                     bounds = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True])
-                    d, p = doc[stay[first]], place[stay[first]]
+                    d, own, p = doc[stay[first]], key[stay[first]], place[stay[first]]
                     for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                         some = order[x:y]
-                        made.append((int(to[some[0]]), 0, _pack(d[some], p[some], z[some] - a[some], common.take_spans(data, a[some], z[some]))))
+                        made.append((int(to[some[0]]), 0, _pack(d[some], own[some], p[some], z[some] - a[some], common.take_spans(data, a[some], z[some]))))
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "bucket int, kind int, block binary")
+    return docs.select(F.col("id").cast("long"), "text", "key").mapInArrow(run, "bucket int, kind int, block binary")
 
 
 def _settle(blocks: list[tuple[int, bytes]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (doc, first window, windows) of later windows among the blocks of a bucket."""
-    known = [_unpack(b)[:3] for kind, b in blocks if kind == 1]
+    """Runs (doc, key, first window, windows) of later windows among the blocks of a bucket."""
+    known = [_unpack(b)[:4] for kind, b in blocks if kind == 1]
     parts = [_unpack(b) for kind, b in blocks if kind == 0]
-    out = [tuple(np.asarray(x) for x in known_)[:3] for known_ in known]
+    out = [tuple(np.asarray(x) for x in known_)[:4] for known_ in known]
     if parts:
-        doc, place, length, data = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        doc, key, place, length, data = (np.concatenate([p[i] for p in parts]) for i in range(5))
         offsets = np.r_[0, np.cumsum(length)]
         starts, ends, piece = common.find_words(data, offsets)
         hashes = common.span_hashes(data, starts, ends)
@@ -208,22 +223,22 @@ def _settle(blocks: list[tuple[int, bytes]], k: int) -> tuple[np.ndarray, np.nda
         at = place[own] + window - np.searchsorted(piece, own)
         later = np.flatnonzero(later_windows(data, starts, ends, whole[window], window, doc[own], at, k))
         first, last = _runs(own[later], at=window[later])
-        out.append((doc[own[later[first]]], at[later[first]], last - first))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.empty(0, np.int64),) * 3
+        out.append((doc[own[later[first]]], key[own[later[first]]], at[later[first]], last - first))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(4)) if out else (np.empty(0, np.int64),) * 4
 
 
-def later_runs(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, first, windows): runs of windows whose words start earlier elsewhere; doc is null for rows without an id."""
+def later_runs(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+    """(doc, key, first, windows): runs of windows whose words start earlier elsewhere; docs as keyed, doc is null for rows without an id."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = common_minimisers(docs, id_col, text_col, k, m)
-    dealt = packed(docs, partitions * BUCKETS, often, k, m, id_col, text_col).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    often = common_minimisers(docs, "id", "text", k, m)
+    dealt = packed(docs, partitions * BUCKETS, often, k, m).repartition(partitions, "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
         bucket = None
 
         def settled() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _settle(held, k)], names=["doc", "first", "windows"])
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _settle(held, k)], names=["doc", "key", "first", "windows"])
 
         for batch in batches:
             for b, kind, block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -235,7 +250,7 @@ def later_runs(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: str
         if held:
             yield settled()
 
-    return dealt.mapInArrow(run, "doc long, first long, windows long").withColumn("doc", F.when(F.col("doc") != _NO_ID, F.col("doc")))
+    return dealt.mapInArrow(run, "doc long, key long, first long, windows long").withColumn("doc", F.when(F.col("doc") != _NO_ID, F.col("doc")))
 
 
 def drop_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,9 +261,9 @@ def drop_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: s
     each other; rows without an id come last.  Texts of fewer than k words stay whole, a null text has no words,
     and an empty table gives an empty result.
     """
-    runs = later_runs(docs, k, m, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = rows.join(runs, F.col("id").cast("long").eqNullSafe(F.col("doc")), "left").select("id", "text", "runs")
+    rows = keyed(docs, id_col, text_col)
+    runs = later_runs(rows, k, m).groupBy("doc", F.col("key").alias("own")).agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+    joined = rows.join(runs, F.col("id").cast("long").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("own")), "left").select("id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -180,6 +180,16 @@ def test_substrings(spark, seed):
     assert sorted(got, key=str) == brute_repeats(docs)
 
 
+def test_substrings_of_unequal_rows_under_one_id(spark):
+    passage, far = [f"p{i}" for i in range(30)], [f"f{i}" for i in range(80)]
+    made = lambda own, n: " ".join([f"{own}{i}" for i in range(n)])
+    docs = [(1, " ".join(passage)), (None, " ".join([made("a", 60), *passage])), (None, made("b", 100)), (None, "short"), (None, None)]
+    docs += [(None, made("c", 25)), (7, " ".join([*far[:40], *passage])), (7, made("d", 90)), (7, "x y"), (7, None)]
+    got = substring_dedup.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    got = [(x.doc_id, x.n_words, x.n_removed, hashlib.sha256(x.kept.encode()).hexdigest()) for x in got.collect()]
+    assert sorted(got, key=str) == brute_repeats(docs)
+
+
 def test_substrings_empty(spark):
     assert substring_dedup.drop_repeats(empty(spark)).count() == 0
 
