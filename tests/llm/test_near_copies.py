@@ -48,3 +48,14 @@ def test_jaccard_against_brute_force(spark):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
         got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
         assert got == sorted(set(brute_groups(texts)))
+
+
+def test_rows_without_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda words, k: " ".join([*words[:-k], *(f"x{k}{i}" for i in range(k))])
+    named, lone = base, [f"u{i}" for i in range(60)]
+    docs = [(4, " ".join(named)), (None, near(named, 1)), (None, near(named, 2))]
+    docs += [(None, " ".join(lone)), (None, near(lone, 1)), (None, near(lone, 2)), (None, " ".join(lone)), (None, "on its own")]
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "").collect()]
+    assert [x for x in got if x[0] is not None] == [docs[0]]
+    assert sorted(t.split()[0] for i, t in got if i is None) == ["on", "u0"]
