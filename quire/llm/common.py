@@ -6,6 +6,8 @@ bytes, so a worker's memory does not depend on the number of rows in a batch.  A
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
+#: A value that more than one in so many rows have is joined by broadcast.
+HEAVY = 500
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -38,6 +43,28 @@ def by_place(rows: DataFrame) -> DataFrame:
     return rows.toDF(*(f"_{i}" for i in range(len(rows.columns))))
 
 
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Written to the folder of spark.checkpoint.dir and read again; only a local session may go without that setting."""
+    context = frame.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return frame.checkpoint()
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, n: int, how: str = "inner") -> DataFrame:
+    """left (n rows) joined, inner or left, with right, which has one row for each value of on.
+
+    Values that hold more than one in HEAVY of left's rows, of which there are fewer than HEAVY, are joined by
+    broadcast, so no task gets all rows of one.  Both sides are read twice and should be checkpointed.
+    """
+    heavy = F.broadcast(left.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HEAVY > n).select(on))
+    often = left.join(heavy, on, "left_semi").join(F.broadcast(right.join(heavy, on, "left_semi")), on, how)
+    return often.unionByName(left.join(heavy, on, "left_anti").join(right, on, how))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; a null text has none.  Runs inside code generation."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -129,6 +156,19 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in which the words of a text are one space apart, and (start, end, text) of the words in them."""
+    starts, ends, text = find_words(data, offsets)
+    keep = ~IS_SPACE[data]
+    gap = ends[:-1][text[1:] == text[:-1]]
+    keep[gap] = True
+    out = data[keep]
+    place = np.cumsum(keep) - keep
+    starts, length = place[starts], ends - starts
+    out[place[gap]] = 0x20
+    return out, starts, starts + length, text
+
+
 def char_totals(data: np.ndarray) -> np.ndarray:
     """Code points before each byte (one entry more than bytes)."""
     total = np.zeros(len(data) + 1, np.int64)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quire.llm import common
+from quire.llm.common import checkpointed
 
 #: More membership patterns than this are refused: the network is solved on the driver.
 MAX_PATTERNS = 50_000
@@ -158,16 +159,6 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     return out.select(F.col("_id").alias(id_col), named_back("_pattern").alias("sources"), F.col("_size").alias("size"), "copies", named_back("routes").alias("routes"), "source_sizes", "targets")
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """Written to the folder of spark.checkpoint.dir and read again; a folder of this machine only where none is set."""
-    context = frame.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return frame.checkpoint()
-
-
 def mix_documents(docs: DataFrame) -> DataFrame:
     sized = docs.select("doc_id", F.array("source").alias("sources"), common.n_words(F.col("text")).alias("size"))
     mixed = mix_sources(sized)

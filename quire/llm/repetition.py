@@ -101,15 +101,15 @@ def repetition_rules(docs: DataFrame, rules: RepetitionRules | None = None, id_c
     any others, other columns are ignored, and an empty table gives an empty result.
     """
     rules = rules or RepetitionRules()
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "dup_line_chars", *(f"dup_{n}gram_chars" for n in sorted(rules.gram_percent))]
-    key = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, key), *(T.StructField(x, T.LongType()) for x in longs), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "dup_line_chars", *(f"dup_{n}gram_chars" for n in sorted(rules.gram_percent))]
+    kind = lambda x: T.BooleanType() if x in ("base_failed", "kept") else T.LongType()
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(x, kind(x)) for x in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in common.chunks(batch.column(1)):
                 found = measure(data, offsets, rules)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(found[x]) for x in [*longs, "base_failed", "kept"])], names=[id_col, *longs, "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(found[x]) for x in names)], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

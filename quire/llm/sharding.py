@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.llm import common
-from quire.llm.mixing import checkpointed
+from quire.llm.common import checkpointed
 
 ROUNDS = 4
 #: Rows of a rank bucket that are aimed at.
