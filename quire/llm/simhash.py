@@ -13,7 +13,7 @@ pairs.  Components are found by contraction rounds on the links, checkpointed in
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import common
-from quire.llm.mixing import checkpointed
+from quire.llm.common import checkpointed, spread_join
 
 RADIUS = 4
 #: Members of a cell's side; a cell holds at most two sides.
@@ -32,39 +32,101 @@ CELL = 4096
 EVEN = 512
 #: Pairs of a query and a word that are compared at once.
 BATCH = 1 << 16
-#: Shingle hashes that are unpacked to bits at once.
-UNPACK = 1 << 16
+#: Shingles that are hashed and unpacked to bits at once; longer spans are hashed one by one.
+UNPACK, SPAN = 1 << 16, 512
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _round(acc: np.ndarray | np.uint64, lane: np.ndarray) -> np.ndarray:
+    return _turn(acc + lane * _P2, 31) * _P1
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each span of data, all spans at once; data has eight bytes more than any span reaches."""
+    out = np.empty(len(starts), np.uint64)
+    large = lengths > SPAN
+    for i in np.flatnonzero(large):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes(), seed)
+    some = np.flatnonzero(~large)
+    if not len(some):
+        return out
+    at, left, start = starts[some].copy(), lengths[some].copy(), np.uint64(seed)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = np.full(len(some), start + _P5)
+        wide = np.flatnonzero(left >= 32)
+        if len(wide):
+            lanes = [np.full(len(wide), x) for x in (start + _P1 + _P2, start + _P2, start, start - _P1)]
+            for _ in range(int(left[wide].max()) // 32):
+                go = np.flatnonzero(left[wide] >= 32)
+                for k in range(4):
+                    lanes[k][go] = _round(lanes[k][go], eight[at[wide[go]] + 8 * k])
+                at[wide[go]] += 32
+                left[wide[go]] -= 32
+            made = sum(_turn(x, b) for x, b in zip(lanes[1:], (7, 12, 18), strict=True)) + _turn(lanes[0], 1)
+            for x in lanes:
+                made = (made ^ _round(np.uint64(0), x)) * _P1 + _P4
+            h[wide] = made
+        h += lengths[some].astype(np.uint64)
+        for _ in range(3):
+            go = np.flatnonzero(left >= 8)
+            h[go] = _turn(h[go] ^ _round(np.uint64(0), eight[at[go]]), 27) * _P1 + _P4
+            at[go] += 8
+            left[go] -= 8
+        go = np.flatnonzero(left >= 4)
+        h[go] = _turn(h[go] ^ ((eight[at[go]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        at[go] += 4
+        left[go] -= 4
+        for k in range(3):
+            go = np.flatnonzero(left > k)
+            h[go] = _turn(h[go] ^ (data[at[go] + k].astype(np.uint64) * _P5), 11) * _P1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+    out[some] = h ^ (h >> np.uint64(32))
+    return out
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """SimHash of the XXH64 (seed 42) of word shingles, A-Z lower-cased; no word: 0."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(accumulate((len(w) + 1 for w in words), initial=-1))[1:]
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    digest = xxhash.xxh64_intdigest
-    count = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, count, UNPACK):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[lo : min(lo + UNPACK, count)], ends[min(shingle, len(words)) - 1 :][lo : lo + UNPACK], strict=False)], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and signed 64-bit fingerprint of each row."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+def prints(data: np.ndarray, offsets: np.ndarray, shingle: int = 4) -> np.ndarray:
+    """SimHash of each text: the XXH64 (seed 42) of its word shingles, A-Z lower-cased, repeats included; no word: 0."""
+    texts = len(offsets) - 1
+    norm, starts, ends, text = common.normalised(np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8), offsets)
+    if not len(starts):
+        return np.zeros(texts, np.uint64)
+    norm = np.r_[norm, np.zeros(8, np.uint8)]
+    n = np.bincount(text, minlength=texts)
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    # a text of fewer words is one shingle
+    own = np.repeat(np.flatnonzero(n), np.maximum(n[n > 0] - shingle + 1, 1))
+    begin = np.repeat(first, np.maximum(n[n > 0] - shingle + 1, 1))
+    begin += np.arange(len(own)) - np.searchsorted(own, own)
+    last = begin + np.minimum(n[own], shingle) - 1
+    ones = np.zeros((texts, 64), np.int64)
+    for lo in range(0, len(own), UNPACK):
+        part = slice(lo, lo + UNPACK)
+        a = starts[begin[part]]
+        bits = np.unpackbits(xxh64(norm, a, ends[last[part]] - a).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        edge = np.flatnonzero(np.r_[True, own[part][1:] != own[part][:-1]])
+        ones[own[part][edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.bincount(own, minlength=texts)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """id and fp (signed 64-bit fingerprint) of each row; a null text is empty."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(bytes(x.as_buffer())) if x.is_valid else 0 for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], schema=pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]))
+            for lo, hi, data, offsets in common.chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(prints(data, offsets, shingle).view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def pieces(n: int, radius: int = RADIUS) -> list[tuple[int, ...]]:
@@ -184,10 +246,10 @@ def cell_links(cell: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int
 
 
 def links(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that join the same points as all pairs within the radius do; points: rep, fp, distinct in fp."""
+    """Links (a, b) that join the same fingerprints as all pairs within the radius do; points: fp, n distinct ones."""
     masks = pieces(n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = points.select("rep", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("way", "key"))
+    rows = points.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("way", "key"))
     sizes = rows.groupBy("way", "key").count().filter(F.col("count") > CELL).select("way", "key", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
     sizes = checkpointed(sizes)
     if n_large := sizes.count():
@@ -198,22 +260,22 @@ def links(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         cell = F.xxhash64("way", "key", F.least("part", "other"), F.greatest("part", "other"))
     else:
         rows, cell = rows.withColumn("side", F.lit(2)), F.xxhash64("way", "key")
-    dealt = rows.select(cell.alias("cell"), "side", "rep", "fp")
+    dealt = rows.select(cell.alias("cell"), "side", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         rows_held = 0
 
         def linked(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            cell, side, rep, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cell, side, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
             root = cell_links(cell, side, fp.view(np.uint64), radius)
             far = np.flatnonzero(root != np.arange(len(root)))
-            a, b = rep[root[far]], rep[far]
+            a, b = fp[root[far]], fp[far]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            now = tuple(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            now = tuple(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             held.append(now)
             rows_held += len(batch)
             if rows_held >= 8 * CELL and len(batch):  # all but the last cell is whole
@@ -233,43 +295,44 @@ def links(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the links (a, b) reaches.
 
-    Each round, every node hooks to its least neighbour or itself, hooks are followed twice, and the links are
-    drawn again between where their ends have gone; links inside a tree vanish.  A component's least node never
-    moves, so it is the last one left.
+    Each round, every node hooks to its least neighbour or itself, hooks are followed, and the links are drawn
+    again between where their ends have gone; links inside a tree vanish.  A component's least node never moves,
+    so it is the last one left.  Nodes to which many others are linked are joined apart (common.spread_join).
     """
     links = checkpointed(links.filter("a <> b").distinct())
     roots = None
-    while not links.isEmpty():
+    while n := links.count():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p"))
-        for _ in range(2):
-            hooks = hooks.alias("x").join(hooks.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p"))
-        hooks = checkpointed(hooks)
+        hooks = checkpointed(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p")))
+        hooks = checkpointed(spread_join(hooks, hooks.toDF("p", "q"), "p", hooks.count()).select("v", F.col("q").alias("p")))
         if roots is None:
-            roots = hooks.select(F.col("v").alias("node"), F.col("p").alias("root"))
+            roots = hooks.toDF("node", "root")
         else:
-            roots = checkpointed(roots.join(hooks, F.col("root") == F.col("v"), "left").select("node", F.coalesce("p", "root").alias("root")))
-        ends = links
-        for end in ("a", "b"):
-            ends = ends.join(hooks, F.col(end) == F.col("v")).drop(end, "v").withColumnRenamed("p", end)
-        links = checkpointed(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            moved = spread_join(roots, hooks.toDF("root", "p"), "root", roots.count(), "left")
+            roots = checkpointed(moved.select("node", F.coalesce("p", "root").alias("root")))
+        ends = checkpointed(spread_join(links, hooks.toDF("a", "x"), "a", n).select("x", "b"))
+        ends = spread_join(ends, hooks.toDF("b", "y"), "b", n).filter("x <> y")
+        links = checkpointed(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """Id, fp (signed 64-bit) and component_id, the least id that links reach, of every row.
 
-    A null or empty text has fingerprint 0 and is linked like any other.  Rows of one id and text share a
-    component; a row with a null id counts by its fingerprint alone, and its component is null only if no id
-    is reachable.  An empty table gives an empty result.
+    The graph has fingerprints for nodes, so ids may be of any type that has an order.  A null or empty text has
+    fingerprint 0 and is linked like any other.  Rows of one id and text share a component; a row with a null id
+    counts by its fingerprint alone, and its component is null only if no id is reachable.  An empty table gives
+    an empty result.
     """
-    printed = checkpointed(fingerprints(docs, id_col, text_col))
-    points = checkpointed(printed.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.coalesce("least", F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("fp"), F.lit(1 << 60)))))
-    n = points.count()
-    roots = components(links(points, n, radius))
-    found = points.join(roots, points.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    no_id = F.col("component_id") >= F.lit((1 << 63) - (1 << 60))
-    return printed.join(found, "fp").select(F.col("doc_id").alias(id_col), "fp", F.when(~no_id, F.col("component_id")).alias("component_id"))
+    printed = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    points = checkpointed(printed.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    total, n = points.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    roots = components(links(points.select("fp"), n, radius))
+    linked = checkpointed(points.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root"))
+    named = checkpointed(linked.groupBy("root").agg(F.min("least").alias("found")))
+    joined = spread_join(linked, named, "root", linked.count()).select("fp", F.struct("found").alias("by"))
+    found = points.join(joined, "fp", "left").select("fp", F.when(F.col("by").isNull(), F.col("least")).otherwise(F.col("by.found")).alias("component_id"))
+    return spread_join(printed, checkpointed(found), "fp", total).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
