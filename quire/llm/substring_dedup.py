@@ -3,50 +3,46 @@
 A window is k consecutive words.  Its minimiser is the least hash among the runs of m words inside it, and
 consecutive windows mostly share theirs, so they travel together: one string of words, packed with its place,
 in a compressed block for its minimiser's bucket.  Equal windows have equal minimisers and meet in one bucket,
-where sorting finds every window that starts earlier elsewhere; bytes decide, not hashes.
+where sorting finds every window that starts earlier elsewhere; bytes decide, not hashes.  The number of buckets
+follows the size of the texts, so a bucket holds about ``BUCKET_TEXT`` bytes of them at any scale.
 
 Before anything travels, a task drops the windows that it has itself seen at an earlier place; of a passage
-that a third of all documents share, one copy a task is sent.  Minimisers that are still common (found on a
-bounded sample; this changes routes only, never results) have their windows dealt by the whole window's hash.
-What comes back is the runs of later windows, by document; the texts are joined with them once.
+that a third of all documents share, one copy a block is sent.  Minimisers that are still common (found on a
+bounded sample; this changes routes only, never results) have their windows dealt by the whole window's hash,
+and first over ``SALTS`` buckets of their own: each lets only its earliest copy of a window go on to the bucket
+that decides, so no bucket gets a copy from every block of the corpus.
+What comes back is the runs of later windows, by document; only texts that have some are joined with them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import common
-from quire.llm.mixing import checkpointed
+from quire.llm.common import checkpointed
 
 WINDOW = 20
 MINIMISER = 4
 #: Bytes of text a task packs at once; also the scope of the first, local comparison.
 PACK = 4 << 20
-#: Buckets for each shuffle partition.
-BUCKETS = 8
+#: Bytes of text for each bucket, and buckets for each partition, about.
+BUCKET_TEXT, BUCKETS = 2 << 20, 8
+#: Buckets over which the copies of a common window are spread before they meet.
+SALTS = 64
 #: About so many texts are looked at for common minimisers, and one in so many of them makes a minimiser common.
 SAMPLE_TEXTS, COMMON_IN = 2_000, 100
 #: Ranks rows without an id behind all others.
 _NO_ID = (1 << 63) - 1
-#: Ids with different texts that are sent to all tasks rather than shuffled.
+#: Names of rows that are sent to all tasks rather than shuffled.
 SENT = 1_000_000
-
-
-def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes in which the words of a text are one space apart, and (start, end, text) of the words in them."""
-    starts, ends, text = common.find_words(data, offsets)
-    keep = ~common.IS_SPACE[data]
-    gap = ends[:-1][text[1:] == text[:-1]]
-    keep[gap] = True
-    out = data[keep]
-    place = np.cumsum(keep) - keep
-    starts, length = place[starts], ends - starts
-    out[place[gap]] = 0x20
-    return out, starts, starts + length, text
+_CODEC = pa.Codec("zstd", compression_level=4)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -107,11 +103,11 @@ def later_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes
 def _pack(doc: np.ndarray, key: np.ndarray, place: np.ndarray, length: np.ndarray, text: np.ndarray) -> bytes:
     head = np.array([len(doc)], "<i8").tobytes()
     raw = head + doc.astype("<i8").tobytes() + key.astype("<i8").tobytes() + place.astype("<i8").tobytes() + length.astype("<i8").tobytes() + text.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.decompress(block[8:], decompressed_size=int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
+    raw = _CODEC.decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     doc, key, place, length = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n)
     return doc, key, place, length, np.frombuffer(raw, np.uint8, offset=8 + 32 * n)
@@ -135,7 +131,7 @@ def common_minimisers(docs: DataFrame, id_col: str, text_col: str, k: int, m: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in common.chunks(batch.column(0)):
-                norm, starts, ends, text = normalised(data, offsets)
+                norm, starts, ends, text = common.normalised(data, offsets)
                 window, least = _minimisers(common.span_hashes(norm, starts, ends) if len(starts) else np.empty(0, np.uint64), text, k, m)
                 pairs = np.unique(np.stack([least, text[window].astype(np.uint64)]), axis=1)[0]
                 value, count = np.unique(pairs, return_counts=True)
@@ -147,26 +143,54 @@ def common_minimisers(docs: DataFrame, id_col: str, text_col: str, k: int, m: in
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and key of every row: a hash of the text where the id is null or has different texts, else 0."""
+    """id, place, key and text of every row.
+
+    place orders the ids as a long (null for a null id): an integer id is its own, others are numbered along a
+    range partitioning.  key is a hash of the text where the id is null or has different texts, else 0.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        rows = rows.select("id", F.col("id").cast("long").alias("place"), "text")
+    else:
+        spots = rows.select("id").filter("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+        spots = checkpointed(spots.withColumn("place", F.monotonically_increasing_id()))
+        rows = rows.join(spots, "id", "left").select("id", "place", "text")
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    clash = rows.filter("id is not null").groupBy("id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi")
-    clash = checkpointed(clash.select(F.col("id").alias("clash")))
+    clash = rows.filter("place is not null").groupBy("place").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi")
+    clash = checkpointed(clash.select(F.col("place").alias("clash")))
     few = F.broadcast(clash) if clash.count() <= SENT else clash
-    key = F.when(F.col("id").isNull() | F.col("clash").isNotNull(), own).otherwise(F.lit(0).cast("long"))
-    return rows.join(few, F.col("id") == F.col("clash"), "left").select("id", "text", key.alias("key"))
+    key = F.when(F.col("place").isNull() | F.col("clash").isNotNull(), own).otherwise(F.lit(0).cast("long"))
+    return rows.join(few, F.col("place") == F.col("clash"), "left").select("id", "place", key.alias("key"), "text")
+
+
+def _blocks(data: np.ndarray, route: np.ndarray, text: np.ndarray, window: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, key: np.ndarray, place: np.ndarray, n_buckets: int, k: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, 0, block) of runs of neighbouring windows with one route."""
+    first, last = _runs(route, text, at=window)
+    if not len(first):
+        return
+    a, z = starts[window[first]], ends[window[last - 1] + k - 1]
+    to = (common.mix(route[first]) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True])
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        some = order[x:y]
+        yield int(to[some[0]]), 0, _pack(doc[first[some]], key[first[some]], place[first[some]], z[some] - a[some], common.take_spans(data, a[some], z[some]))
 
 
 def packed(docs: DataFrame, n_buckets: int, often: np.ndarray, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """(bucket, kind, block): packed super-k-mers (kind 0), and runs of windows already known to be later (kind 1); docs as keyed."""
+    """(bucket, kind, block): packed super-k-mers (kind 0), and runs of windows already known to be later (kind 1); docs as keyed.
+
+    Windows of common minimisers go to buckets from n_buckets on, which do not decide alone.
+    """
     names = ["bucket", "kind", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = common.mix(np.array([TaskContext.get().partitionId() % SALTS + 1], np.uint64))[0]
         for batch in batches:
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in common.chunks(batch.column(1), PACK):
-                data, starts, ends, text = normalised(data, offsets)
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in common.chunks(batch.column(2), PACK):
+                data, starts, ends, text = common.normalised(data, offsets)
                 if not len(starts):
                     continue
                 hashes = common.span_hashes(data, starts, ends)
@@ -186,32 +210,27 @@ def packed(docs: DataFrame, n_buckets: int, often: np.ndarray, k: int = WINDOW,
                     for b in np.unique(to):
                         some = to == b
                         made.append((int(b), 1, _pack(d[some], x[some], p[some], n[some], np.empty(0, np.uint8))))
-                stay = np.flatnonzero(~later)
-                route = least[stay]
+                hot = np.zeros(len(window), bool)
                 if len(often):
-                    at = np.minimum(np.searchsorted(often, route), len(often) - 1)
-                    route = np.where(often[at] == route, whole[stay], route)
-                first, last = _runs(route, text[window[stay]], at=window[stay])
-                if len(first):
-                    a, z = starts[window[stay[first]]], ends[window[stay[last - 1]] + k - 1]
-                    to = (common.mix(route[first]) % np.uint64(n_buckets)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    bounds = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True])
-                    d, own, p = doc[stay[first]], key[stay[first]], place[stay[first]]
-                    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-                        some = order[x:y]
-                        made.append((int(to[some[0]]), 0, _pack(d[some], own[some], p[some], z[some] - a[some], common.take_spans(data, a[some], z[some]))))
+                    hot = often[np.minimum(np.searchsorted(often, least), len(often) - 1)] == least
+                for part, shift in ((np.flatnonzero(~later & ~hot), 0), (np.flatnonzero(~later & hot), n_buckets)):
+                    route = whole[part] ^ salt if shift else least[part]
+                    found = _blocks(data, route, text[window[part]], window[part], starts, ends, doc[part], key[part], place[part], n_buckets, k)
+                    made += [(b + shift, kind, block) for b, kind, block in found]
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=names)
 
-    return docs.select(F.col("id").cast("long"), "text", "key").mapInArrow(run, "bucket int, kind int, block binary")
+    return docs.select("place", "key", "text").mapInArrow(run, "bucket int, kind int, block binary")
 
 
-def _settle(blocks: list[tuple[int, bytes]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (doc, key, first window, windows) of later windows among the blocks of a bucket."""
-    known = [_unpack(b)[:4] for kind, b in blocks if kind == 1]
+def _settle(blocks: list[tuple[int, bytes]], k: int, n_buckets: int | None = None) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, bytes]]]:
+    """Runs (doc, key, first window, windows) of later windows among the blocks of a bucket.
+
+    With n_buckets also the blocks, by the whole window's hash, of the windows that are earliest here.
+    """
+    out = [tuple(np.asarray(x) for x in _unpack(b)[:4]) for kind, b in blocks if kind == 1]
     parts = [_unpack(b) for kind, b in blocks if kind == 0]
-    out = [tuple(np.asarray(x) for x in known_)[:4] for known_ in known]
+    onward: list[tuple[int, int, bytes]] = []
     if parts:
         doc, key, place, length, data = (np.concatenate([p[i] for p in parts]) for i in range(5))
         offsets = np.r_[0, np.cumsum(length)]
@@ -221,36 +240,59 @@ def _settle(blocks: list[tuple[int, bytes]], k: int) -> tuple[np.ndarray, np.nda
         window = np.flatnonzero(piece[: len(whole)] == piece[k - 1 :])
         own = piece[window]
         at = place[own] + window - np.searchsorted(piece, own)
-        later = np.flatnonzero(later_windows(data, starts, ends, whole[window], window, doc[own], at, k))
+        gone = later_windows(data, starts, ends, whole[window], window, doc[own], at, k)
+        later = np.flatnonzero(gone)
         first, last = _runs(own[later], at=window[later])
         out.append((doc[own[later[first]]], key[own[later[first]]], at[later[first]], last - first))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(4)) if out else (np.empty(0, np.int64),) * 4
+        if n_buckets is not None:
+            stay = np.flatnonzero(~gone)
+            onward = list(_blocks(data, whole[window[stay]], own[stay], window[stay], starts, ends, doc[own[stay]], key[own[stay]], at[stay], n_buckets, k))
+    return (tuple(np.concatenate([o[i] for o in out]) for i in range(4)) if out else (np.empty(0, np.int64),) * 4), onward
 
 
-def later_runs(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """(doc, key, first, windows): runs of windows whose words start earlier elsewhere; docs as keyed, doc is null for rows without an id."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = common_minimisers(docs, "id", "text", k, m)
-    dealt = packed(docs, partitions * BUCKETS, often, k, m).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+_SETTLED = "doc long, key long, first long, windows long, bucket int, kind int, block binary"
+
+
+def _settled(dealt: DataFrame, partitions: int, n_buckets: int, k: int) -> DataFrame:
+    """Runs of later windows, and the blocks that buckets from n_buckets on let go on; a bucket is held whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
         bucket = None
+        schema = pa.schema([*((x, pa.int64()) for x in ("doc", "key", "first", "windows")), ("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
 
-        def settled() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _settle(held, k)], names=["doc", "key", "first", "windows"])
+        def done() -> Iterator[pa.RecordBatch]:
+            runs, onward = _settle(held, k, n_buckets if bucket >= n_buckets else None)
+            if n := len(runs[0]):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in runs), *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))], schema=schema)
+            if n := len(onward):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), *(pa.array([x[i] for x in onward], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary())))], schema=schema)
 
         for batch in batches:
             for b, kind, block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if b != bucket and held:
-                    yield settled()
+                    yield from done()
                     held = []
                 bucket = b
                 held.append((kind, block))
         if held:
-            yield settled()
+            yield from done()
+
+    return dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _SETTLED)
 
-    return dealt.mapInArrow(run, "doc long, key long, first long, windows long").withColumn("doc", F.when(F.col("doc") != _NO_ID, F.col("doc")))
+
+def later_runs(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+    """(doc, key, first, windows): runs of windows whose words start earlier elsewhere; docs as keyed, doc is a place, null for rows without an id."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (BUCKET_TEXT * BUCKETS)))
+    n_buckets = max(1, partitions * BUCKETS)
+    often = common_minimisers(docs, "place", "text", k, m)
+    runs = _settled(packed(docs, n_buckets, often, k, m), partitions, n_buckets, k)
+    if len(often):
+        runs = checkpointed(runs)
+        more = runs.filter("block is not null").select("bucket", "kind", "block")
+        runs = runs.filter("block is null").unionByName(_settled(more, partitions, n_buckets, k))
+    return runs.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc"), "key", "first", "windows")
 
 
 def drop_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,13 +305,20 @@ def drop_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: s
     """
     rows = keyed(docs, id_col, text_col)
     runs = later_runs(rows, k, m).groupBy("doc", F.col("key").alias("own")).agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
-    joined = rows.join(runs, F.col("id").cast("long").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("own")), "left").select("id", "text", "runs")
+    runs = checkpointed(runs)
+    same = F.col("place").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("own"))
+    if runs.count() <= SENT:  # texts without a repeat need no shuffle
+        names = F.broadcast(runs.select("doc", "own"))
+        joined = rows.join(names, same, "left_semi").join(runs, same).select("id", "text", "runs")
+        joined = joined.unionByName(rows.join(names, same, "left_anti").select("id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")))
+    else:
+        joined = rows.join(runs, same, "left").select("id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             for lo, hi, data, offsets in common.chunks(batch.column(1)):
-                data, starts, ends, text = normalised(data, offsets)
+                data, starts, ends, text = common.normalised(data, offsets)
                 n = np.bincount(text, minlength=hi - lo) if len(text) else np.zeros(hi - lo, np.int64)
                 base = np.r_[0, np.cumsum(n)]
                 raw, kept, removed = data.tobytes(), [], []

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, license_scan, mixing, quality_vote, repetition, sharding, simhash, substring_dedup, url_filter
+from quire.llm import common, decontaminate, langid, license_scan, mixing, quality_vote, repetition, sharding, simhash, substring_dedup, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -190,13 +190,26 @@ def test_substrings_of_unequal_rows_under_one_id(spark):
     assert sorted(got, key=str) == brute_repeats(docs)
 
 
+def test_substrings_of_text_ids_and_common_windows(spark, monkeypatch):
+    passage = [f"p{i}" for i in range(45)]
+    docs = [(f"k{i:02d}", " ".join([f"a{i}", *passage[i % 3 :], f"b{i}"])) for i in range(60)] + [(None, " ".join(passage)), ("k99", None)]
+    monkeypatch.setattr(substring_dedup, "PACK", 300)  # copies in many blocks
+    for often in (True, False):
+        if not often:
+            monkeypatch.setattr(substring_dedup, "common_minimisers", lambda *_: np.empty(0, np.uint64))
+        got = substring_dedup.drop_repeats(spark.createDataFrame(docs, "doc_id string, text string").repartition(7))
+        got = {x.doc_id: (x.n_words, x.n_removed) for x in got.collect()}
+        want = {i: (n, gone) for i, n, gone, _ in brute_repeats([("~" if i is None else i, t) for i, t in docs])}
+        assert {("~" if i is None else i): v for i, v in got.items()} == want
+
+
 def test_substrings_empty(spark):
     assert substring_dedup.drop_repeats(empty(spark)).count() == 0
 
 
 def test_equal_hashes_are_told_apart(monkeypatch):
     data, offsets = np.frombuffer(b"a b c d a b e f", np.uint8), np.array([0, 15])
-    norm, starts, ends, _ = substring_dedup.normalised(data, offsets)
+    norm, starts, ends, _ = common.normalised(data, offsets)
     later = substring_dedup.later_windows(norm, starts, ends, np.zeros(7, np.uint64), np.arange(7), np.zeros(7, np.int64), np.arange(7), 2)
     assert later.tolist() == [False] * 4 + [True, False, False]
 
@@ -265,6 +278,23 @@ def test_simhash(spark, monkeypatch):
     assert simhash.near_duplicates(table.filter("false")).count() == 0
 
 
+def test_simhash_of_other_ids(spark):
+    near = " ".join(f"w{i}" for i in range(400))
+    docs = [("b", near), ("a", near + " z"), (None, near), ("c", "x y z"), (None, "alone here")]
+    got = {(x.doc_id, x.component_id) for x in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    assert got == {("b", "a"), ("a", "a"), (None, "a"), ("c", "c"), (None, None)}
+    top = (1 << 63) - 1
+    got = simhash.near_duplicates(spark.createDataFrame([(top, "one"), (top - 1, "one")], "doc_id long, text string")).collect()
+    assert {x.component_id for x in got} == {top - 1}
+
+
+def test_hashes_match_the_library():
+    r = random.Random(3)
+    data = np.frombuffer(bytes(r.getrandbits(8) for _ in range(3000)) + b"\0" * 8, np.uint8)
+    starts, lengths = np.array([r.randint(0, 1000) for _ in range(600)]), np.array([r.choice([n % 45, r.randint(0, 1999)]) for n in range(600)])
+    assert [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), 42) for a, n in zip(starts, lengths, strict=True)] == simhash.xxh64(data, starts, lengths).tolist()
+
+
 def test_cells():
     rng = np.random.default_rng(3)
     fps = [int(x) for x in rng.integers(0, 2**63, 60)]
