@@ -26,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
+#: Bytes of an Arrow batch that goes to or from a Python worker.
+ARROW_BYTES = 8 << 20
 #: A value that more than one in so many rows have is joined by broadcast.
 HEAVY = 500
 
@@ -54,6 +56,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_BYTES from now on, whatever the length of the texts; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: str, n: int, how: str = "inner") -> DataFrame:
     """left (n rows) joined, inner or left, with right, which has one row for each value of on.
 

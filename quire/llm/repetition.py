@@ -101,6 +101,7 @@ def repetition_rules(docs: DataFrame, rules: RepetitionRules | None = None, id_c
     any others, other columns are ignored, and an empty table gives an empty result.
     """
     rules = rules or RepetitionRules()
+    common.bounded_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "dup_line_chars", *(f"dup_{n}gram_chars" for n in sorted(rules.gram_percent))]
     kind = lambda x: T.BooleanType() if x in ("base_failed", "kept") else T.LongType()
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(x, kind(x)) for x in names)])

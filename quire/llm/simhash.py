@@ -120,6 +120,7 @@ def prints(data: np.ndarray, offsets: np.ndarray, shingle: int = 4) -> np.ndarra
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """id and fp (signed 64-bit fingerprint) of each row; a null text is empty."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -303,14 +303,17 @@ def drop_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, id_col: s
     each other; rows without an id come last.  Texts of fewer than k words stay whole, a null text has no words,
     and an empty table gives an empty result.
     """
+    common.bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     runs = later_runs(rows, k, m).groupBy("doc", F.col("key").alias("own")).agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
     runs = checkpointed(runs)
     same = F.col("place").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("own"))
     if runs.count() <= SENT:  # texts without a repeat need no shuffle
-        names = F.broadcast(runs.select("doc", "own"))
-        joined = rows.join(names, same, "left_semi").join(runs, same).select("id", "text", "runs")
-        joined = joined.unionByName(rows.join(names, same, "left_anti").select("id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")))
+        name = lambda doc, key: F.xxhash64(F.coalesce(doc, F.lit(_NO_ID)), key)
+        names = F.broadcast(runs.select(name(F.col("doc"), F.col("own")).alias("name")).distinct())
+        named = rows.withColumn("name", name(F.col("place"), F.col("key")))
+        joined = named.join(names, "name", "left_semi").join(runs, same, "left").select("id", "text", "runs")
+        joined = joined.unionByName(named.join(names, "name", "left_anti").select("id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")))
     else:
         joined = rows.join(runs, same, "left").select("id", "text", "runs")
 
