@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from quire.llm import common
 
-#: Labelled rows to learn from, about; beyond it a hash of the id chooses.
+#: Labelled rows to learn from at most; of more, those with the least hashes.
 FIT_ROWS = 4_096
 TRIGRAMS = 2_048
 #: Shape measures, each told in steps.
@@ -103,22 +103,38 @@ def project(found: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndar
     return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> VoteModel:
-    """Learn from about FIT_ROWS of the usable labels (0 or 1) whose document is there."""
-    known = labels.filter(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    total = known.count()
-    chance = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.filter(chance < FIT_ROWS / max(total, 1))
-    rows = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select("_id", text_col, "_label")
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> VoteModel:
+    """Learn from at most `most` labelled texts: the usable labels (0 or 1) whose document is there.
+
+    Rows of one id, text and label count once, however often they stand in either table; of more than `most`, a
+    hash of id and text chooses.  What comes to the driver is bounded by `most` rows at any skew.
+    """
+    common.bounded_batches(docs.sparkSession)
+    known = labels.filter(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))
+    rows = texts.join(known, "id").distinct().withColumn("order", F.xxhash64(F.col("id").cast("string"), "own", F.lit(3)))
+    chosen = rows.orderBy("order", "label", "own", "id").limit(most).select("id", "own", "label").collect()
+    spark = docs.sparkSession
+    sample = spark.createDataFrame(chosen, f"id {docs.schema[id_col].dataType.simpleString()}, own long, label int")
+    full = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = full.join(F.broadcast(sample), ["id", "own"]).select("id", "text", "label", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            fresh = []
+            for i, x in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                if x not in seen:
+                    seen.add(x)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for lo, hi, data, offsets in common.chunks(batch.column(1)):
                 found = features(data, offsets).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "label", "found"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 2, 3)), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "label", "own", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(rows.mapInArrow(run, f"id {kind}, label int, found binary").collect(), key=lambda r: (r.id, r.label, bytes(r.found)))
+    made = rows.mapInArrow(run, f"id {kind}, label int, own long, found binary").dropDuplicates(["id", "label", "own"])
+    got = sorted(made.collect(), key=lambda r: (r.id, r.label, r.own))
     if not got:
         return VoteModel(np.ones(TERMS, np.float32), np.zeros((TERMS, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.float32), 0.5)
     x = np.stack([np.frombuffer(bytes(r.found), np.float16) for r in got]).astype(np.float32)
@@ -156,6 +172,7 @@ def score_quality(docs: DataFrame, model: VoteModel, id_col: str = "doc_id", tex
     A null or empty text is scored by its shape terms like any other; without any label every score is 0.5.
     Repeated rows agree, other columns are ignored, and an empty table gives an empty result.
     """
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
 
