@@ -1,9 +1,11 @@
 """The operators on awkward rows, and against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -82,6 +84,81 @@ def test_mixing_overlap(spark):
     assert all(len(r.routes) == r.copies for r in got) and routed["a"] > 0 and routed["b"] > 0
 
 
+def brute_routes(docs, sent, seed=23):
+    """Words that go to each source if documents in order of their keys are cut where the flow says."""
+    key = lambda i, size: hashlib.md5(f"{seed}:{i}:{size}".encode()).hexdigest()
+    out, copies = Counter(), Counter()
+    for pattern, flow in sent.items():
+        rows = sorted((key(i, n), i, n) for i, p, n in docs if p == pattern)
+        words, total = sum(n for _, _, n in rows), sum(flow.values())
+        bounds, at = [], 0
+        for s in sorted(flow):
+            bounds.append((at, at + flow[s], s))
+            at += flow[s]
+        for copy in range(2):
+            upto = copy * words
+            for _, i, n in rows:
+                if 2 * upto + n <= 2 * total:
+                    copies[i] += 1
+                    out[next((s for a, b, s in bounds if a <= upto + n / 2 < b), bounds[-1][2])] += n
+                upto += n
+    return out, copies
+
+
+def test_mixing_of_overlapping_sources_by_brute_force(spark):
+    r = random.Random(7)
+    kinds = [("a",), ("a", "b"), ("b", "c"), ("c",), ("a", "b", "c")]
+    docs = [(i, r.choice(kinds), r.randint(1, 30)) for i in range(400)]
+    got = mixing.mix_sources(spark.createDataFrame([(i, list(p), n) for i, p, n in docs], "doc_id long, sources array<string>, size long")).collect()
+    names = ["a", "b", "c"]
+    sizes = [sum(n for _, p, n in docs if s in p) for s in names]
+    quotas = [int(t) for t in mixing.weight_targets(sizes, [5, 2, 1])]
+    listed = sorted(set(kinds))
+    words = {p: sum(n for _, q, n in docs if q == p) for p in listed}
+    flow = mixing.min_cost_flow([([names.index(s) for s in p], words[p]) for p in listed], quotas, 2)
+    want, copies = brute_routes(docs, {p: {names[s]: w for s, w in f.items()} for p, f in zip(listed, flow, strict=True)})
+    routed = Counter()
+    for x in got:
+        assert len(x.routes) == x.copies == copies[x.doc_id] and set(x.routes) <= set(x.sources)
+        for s in x.routes:
+            routed[s] += x.size
+    filled = [sum(f.get(k, 0) for f in flow) for k in range(3)]  # the sources overlap, so not every quota can be
+    assert all(abs(routed[s] - want[s]) <= 60 and abs(routed[s] - n) <= 60 for s, n in zip(names, filled, strict=True)), (routed, want, filled, quotas)
+
+
+def test_flow_against_every_way():
+    r = random.Random(5)
+    for _ in range(60):
+        patterns = [(sorted(r.sample(range(3), r.randint(1, 3))), r.randint(0, 4)) for _ in range(3)]
+        quotas = [r.randint(0, 6) for _ in range(3)]
+        sent = mixing.min_cost_flow(patterns, quotas, 2)
+        assert all(sum(f.get(s, 0) for f in sent) <= q for s, q in enumerate(quotas)) and all(sum(f.values()) <= 2 * z for f, (_, z) in zip(sent, patterns, strict=True))
+        # the least cost of a largest flow, by words of each pattern
+        feasible = lambda used: all(sum(u for u, (m, _) in zip(used, patterns, strict=True) if set(m) <= set(c)) <= sum(quotas[s] for s in c) for k in (1, 2, 3) for c in combinations(range(3), k))
+        ways = [used for used in product(*(range(2 * z + 1) for _, z in patterns)) if feasible(used)]
+        cost = lambda used: sum(max(0, u - z) for u, (_, z) in zip(used, patterns, strict=True))
+        most = max(map(sum, ways))
+        mine = [sum(f.values()) for f in sent]
+        assert sum(mine) == most and cost(mine) == min(cost(u) for u in ways if sum(u) == most)
+
+
+def test_mixed_rows_of_null_and_repeated_ids(spark):
+    listed = [(None, f"{'w ' * (i % 9 + 1)}{i}", "", "a" if i < 20 else "b") for i in range(420)] + [(7, "same text here", "", "b")] * 300 + [(7, "other", "", "a")]
+    docs = rows(spark, listed)
+    got = mixing.mixed_rows(docs).collect()
+    assert len(got[0]) == len(docs.columns) and mixing.mixed_rows(docs).columns == docs.columns
+    have, took = Counter((d[0], d[1], d[3]) for d in listed), Counter((x.doc_id, x.text, x.source) for x in got)
+    assert all(took[k] <= 2 * n for k, n in have.items()) and set(took) <= set(have)
+    sizes = {s: sum(len(d[1].split()) for d in listed if d[3] == s) for s in "ab"}
+    for s, target in zip("ab", mixing.weight_targets([sizes["a"], sizes["b"]], [5, 2]), strict=True):
+        assert abs(sum(len(x.text.split()) for x in got if x.source == s) - target) <= 10
+    again = mixing.mixed_rows(docs.repartition(5)).collect()
+    assert Counter((x.doc_id, x.text, x.source) for x in again) == took
+    assert mixing.mixed_rows(empty(spark)).count() == 0
+    for k, r in ((0, mixing.mix_documents(docs).collect()),):
+        assert len(r) == len(listed) and all(abs(sum(x.taken for x in r if x.target == t) - t) <= 10 for t in {x.target for x in r})
+
+
 def test_language(spark):
     en, fr = "the house of that man is on the hill with the others", "les maisons de cet homme sont sur la colline avec les autres"
     listed = [(i, " ".join(random.Random(i).sample((en if i % 2 else fr).split(), 8)), "en" if i % 2 else "fr", "a") for i in range(200)]
@@ -94,11 +171,88 @@ def test_language(spark):
     both = langid.identify(rows(spark, [(1, " ".join([en] * 6 + [fr] * 4), "", "")]), model).first()
     assert both.n_langs == 2 and 0.4 < both.score < 0.8
     kept = langid.known_language(rows(spark), model)
-    assert kept.columns == rows(spark).columns and {r.doc_id for r in kept.collect()} >= {1, 4, 6}
+    assert kept.columns == rows(spark).columns and {r.doc_id for r in kept.collect()} == {None, 1, 6, 8}  # 4 has words of no learned language
     none = langid.fit(empty(spark), F.lit(True))
     assert {r.lang_pred for r in langid.identify(rows(spark), none).collect()} == {"und"}
 
 
+def brute_language(model, text):
+    """The chosen shares of one text, word by word, with every set of languages that greedy search visits."""
+    words = [w for w in re.split(r"[^a-z\x80-\xff]+", text.lower().encode().decode("latin-1")) if w]
+    likely = []
+    for w in words:
+        padded = " " + w + " "
+        codes = [(ord(padded[i]) << 16 | ord(padded[i + 1]) << 8 | ord(padded[i + 2])) * 2654435761 % 2**32 >> 16 for i in range(len(w))]
+        log = [sum(float(model.log_p[c, k]) for c in codes) for k in range(len(model.languages))]
+        likely.append([max(math.exp(x - max(log)), langid.FLOOR) for x in log])
+    n = range(len(model.languages))
+    fit = lambda share: sum(math.log(sum(p * s for p, s in zip(x, share, strict=True))) for x in likely)
+    share = [0.0] * len(n)
+    share[max(n, key=lambda k: sum(math.log(x[k]) for x in likely))] = 1.0
+    least = -2 * fit(share)
+    for size in range(2, len(n) + 1):
+        rise = [0 if share[k] > 0 else sum(x[k] / sum(p * s for p, s in zip(x, share, strict=True)) for x in likely) / len(likely) for k in n]
+        more = max(n, key=lambda k: rise[k])
+        if rise[more] <= 1:
+            break
+        tried = [s * (1 - 1 / size) + (k == more) / size for k, s in enumerate(share)]
+        for _ in range(langid.ROUNDS):
+            parts = [[p * s / sum(a * b for a, b in zip(x, tried, strict=True)) for p, s in zip(x, tried, strict=True)] for x in likely]
+            tried = [sum(p[k] for p in parts) / len(parts) for k in n]
+        cost = -2 * fit(tried) + langid.PENALTY * (size - 1) * math.log(max(len(likely), 2))
+        if cost >= least - 1e-9:
+            break
+        share, least = tried, cost
+    return share
+
+
+def test_language_sets_by_brute_force():
+    r = random.Random(11)
+    vocabulary = [["".join(r.choice(letters) for _ in range(5)) for _ in range(30)] for letters in ("abcde", "defgh", "ghijk", "klmno", "opqrs", "rstuv", "uvwxy")]
+    total = np.full((7, langid.BUCKETS), 0.01)
+    for k, words in enumerate(vocabulary):
+        for text in words * 20:
+            bucket, _, _ = langid.letter_grams(np.frombuffer(text.encode(), np.uint8), np.array([0, 5]))
+            np.add.at(total[k], bucket, 1)
+    model = langid.LanguageModel(tuple("abcdefg"), np.log(total / total.sum(axis=1, keepdims=True)).T.astype(np.float32), np.zeros(7))
+    texts = [" ".join(r.choice(vocabulary[k]) for k in r.choices(r.sample(range(7), size), k=60)) for size in (1, 2, 3, 5, 6, 7, 1, 4)]
+    data = "".join(texts).encode()
+    best, score, size, _ = langid.infer(model, np.frombuffer(data, np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+    for i, text in enumerate(texts):
+        share = brute_language(model, text)
+        assert size[i] == sum(s > 0 for s in share) and best[i] == int(np.argmax(share))
+        assert size[i] == 1 or abs(score[i] - max(share)) < 1e-6
+    assert size.max() >= 6
+
+
+def test_strange_languages_go(spark):
+    en = "the house of that man is on the hill with the others and some people in the old town drew the plan of a river"
+    docs = rows(spark, [(i, " ".join(random.Random(i).sample(en.split(), 14)), "en", "a") for i in range(100)] + [(200, "zxq wvk qqj zzk xkcd pqzr wvx qjz vvk zzx qxk wvz kqj zxq wvk qqj zzk xkcd pqzr wvx qjz", None, "a")])
+    assert {x.doc_id for x in langid.known_language(docs, langid.fit(docs, F.lit(True))).collect()} == set(range(100))
+
+
+def test_votes_by_brute_force():
+    rng = np.random.default_rng(2)
+    length = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors, labels = length(rng.standard_normal((300, 8))).astype(np.float32), rng.integers(0, 2, 300).astype(np.float32)
+    vectors[100:110] = vectors[100]  # ties
+    model = quality_vote.VoteModel(np.ones(1), np.ones((1, 1)), vectors, labels, 0.5)
+    asked = np.concatenate([length(rng.standard_normal((40, 8))).astype(np.float32), vectors[95:105]])
+    for q, got in zip(asked, quality_vote.vote(model, asked), strict=True):
+        near = [float(np.dot(q, v)) for v in vectors]
+        last = sorted(near)[-quality_vote.NEIGHBOURS]
+        power = [max(x, 0) ** quality_vote.POWER if x >= last - 1e-7 else 0 for x in near]
+        assert abs(got - sum(p * y for p, y in zip(power, labels, strict=True)) / sum(power)) < 1e-4
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = rows(spark, [(1, f"text number {i} of one id", "", "") for i in range(600)] + [(2, "equal rows", "", "")] * 600)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 1), (3, 1)], "doc_id long, quality int")
+    assert len(quality_vote.fit(docs, labels, F.lit(True), most=50).labels) == 50
+    model = quality_vote.fit(docs.filter("doc_id = 2"), labels, F.lit(True), most=50)
+    assert model.labels.tolist() == [0.0]
+
+
 def test_quality(spark):
     good = lambda i: " ".join(random.Random(i).sample("the plan of a house was drawn by some people in the old town near the river".split(), 12))
     listed = [(i, good(i) if i % 2 else good(i).upper().replace(" ", "!! ") + " %%%", "", "") for i in range(200)]
