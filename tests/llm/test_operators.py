@@ -392,6 +392,54 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(rows(spark), groups).count() == len(ODD)
 
 
+def test_leaks_in_several_indexes(spark):
+    r = random.Random(8)
+    items = [(f"i{k}", " ".join(f"w{r.randint(0, 60)}" for _ in range(r.choice([4, 12, 40, 90])))) for k in range(60)]
+    table = spark.createDataFrame([(f"d{k}", " ".join(["x y z"] * r.randint(0, 9) + [t, "q"])) for k, (_, t) in enumerate(items)], "doc_id string, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one, many = decontaminate.index_items(bench), decontaminate.index_items(bench, limit=300)
+    assert one.groups == 1 and many.groups > 4
+    found = lambda x: {(f.doc_id, f.item_id) for f in decontaminate.find_leaks(table, x).collect()}
+    assert found(one) == found(many) >= {(f"d{k}", f"i{k}") for k in range(60)}
+    assert decontaminate.without_leaks(table, many).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_retrieval_loses_no_verified_item(seed, monkeypatch):
+    """Every pair of a passage and an item verified, against the items that the index retrieves."""
+    if seed == 2:
+        monkeypatch.setattr(decontaminate, "ENTRIES", 50)
+        monkeypatch.setattr(decontaminate, "PASSAGES", 7)
+    r = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(40)] + [f"rare{k}" for k in range(400)]
+    drawn = lambda n: r.choices(vocabulary, [20] * 40 + [1] * 400, k=n)
+    items = [drawn(r.choice([1, 3, 5, 8, 20, 60])) for _ in range(70)]
+    indexes = decontaminate.build(list(range(70)), [" ".join(w[: len(w) * 2 // 3]) for w in items], [" ".join(w[len(w) * 2 // 3 :]) for w in items])
+    texts = []
+    for _ in range(60):
+        w = drawn(r.randint(0, 150))
+        for _ in range(r.randint(0, 3)):  # whole, cut and changed items
+            x = list(r.choice(items))
+            x = x[r.randint(0, len(x) // 4) : len(x) - r.randint(0, len(x) // 4)]
+            if x and r.random() < 0.5:
+                x[r.randrange(len(x))] = "other"
+            at = r.randint(0, len(w))
+            w[at:at] = x
+        texts.append(" ".join(w))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    got = {(t, i) for t, i, *_ in decontaminate.leaks(indexes, data, offsets)}
+    words, text = decontaminate.words_of(data, offsets)
+    want = set()
+    for index in indexes:
+        for a, z in zip(*decontaminate.passages(text, index.width), strict=True):
+            for j, w in enumerate(index.words):
+                total, question, answer = decontaminate.verify(w, int(index.question[j]), words[a:z])
+                if total >= decontaminate.OVERLAP and min(question, answer) >= decontaminate.PART_OVERLAP:
+                    want.add((int(text[a]), index.ids[j]))
+    assert got == want and len(want) > 30
+
+
 def brute_print(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
