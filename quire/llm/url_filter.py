@@ -1,15 +1,19 @@
 """URL rules by a sort-merge range join.
 
 A host is written with its labels reversed and closed ("net.example.blog."), so a host and all its subdomains
-are one interval of keys, and such intervals nest or are apart.  Each task sorts the distinct hosts of its
-batch, merges them with the sorted rules, and sweeps once with a stack of the rules whose interval is open.
-What is on the stack at a host is exactly what can fit it; the path decides among those, the longest first.
-URLs are never shuffled.  The rules go to every task in blocks of a checked size; further blocks are further
-passes that keep the longest rule so far, so any number of rules works.
+are one interval of keys: those that begin with its own.  Such intervals nest or are apart.  Keys and rules are
+sorted, merged and swept once, with a stack of the rules whose interval is open; what is on the stack at a key is
+exactly what holds it.
+
+Up to ``BLOCK_RULES`` rules go to every task, which sweeps the distinct hosts of each batch; URLs are not shuffled.
+More rules are never gathered: distinct hosts and rules are dealt into ranges of keys, a rule into each range that
+its interval reaches, and every range is swept by a task.  The paths of a host's rules nest by prefix in the same
+way, so a second sweep over host and path finds the longest.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -18,11 +22,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import common
+from quire.llm.common import checkpointed
 
-#: Rules that go to the tasks at once.
+#: Rules that may go to every task.
 BLOCK_RULES = 200_000
+#: Keys of the sample that draws the ranges.
+SAMPLE = 10_000
 #: Stands between the labels of a key; _BEHIND is the next character.
 _END, _BEHIND = "\x01", "\x02"
 
@@ -54,6 +62,8 @@ class RuleTable:
         for rule in set(rules):
             by_host.setdefault(rule.host, []).append(rule)
         self.nodes = sorted((host_key(host), sorted(group, key=_better)) for host, group in by_host.items())
+        self.rules = [rule for _, group in self.nodes for rule in group]
+        self.number = {rule: i for i, rule in enumerate(self.rules)}
 
     def sweep(self, hosts: list[str]) -> list[tuple[Rule, ...]]:
         """For each host the rules that fit it by host, best first."""
@@ -81,24 +91,23 @@ class RuleTable:
         return out
 
 
-def judge(table: RuleTable, host: pa.Array, path: pa.Array, best: np.ndarray) -> None:
-    """Put the best fitting rule of each URL into best, unless a better one is there."""
+def judge(table: RuleTable, host: pa.Array, path: pa.Array) -> np.ndarray:
+    """Number in table.rules of the best rule that fits each URL, or -1."""
     coded = host.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
-    groups: dict[tuple[Rule, ...], list[int]] = {}
-    for i, rules in enumerate(table.sweep(coded.dictionary.to_pylist())):
-        if rules:
-            groups.setdefault(rules, []).append(i)
-    for rules, hosts in groups.items():
-        rows = np.flatnonzero(np.isin(code, hosts))
+    best = np.full(len(code), -1)
+    swept = table.sweep(coded.dictionary.to_pylist())
+    kinds = {rules: k for k, rules in enumerate(dict.fromkeys(swept))}
+    kind = np.array([kinds[rules] for rules in swept], np.int64)[code] if len(code) else code
+    for rules, k in kinds.items():
+        rows = np.flatnonzero(kind == k)
         for rule in rules:
             if not len(rows):
                 break
             fits = pc.starts_with(path.take(pa.array(rows)), rule.path).to_numpy(zero_copy_only=False)
-            for i in rows[fits]:
-                if best[i] is None or _better(rule) < _better(best[i]):
-                    best[i] = rule
+            best[rows[fits]] = table.number[rule]
             rows = rows[~fits]
+    return best
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -109,16 +118,63 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def _blocks(rules: DataFrame | Iterable[Rule]) -> Iterator[RuleTable]:
-    if isinstance(rules, DataFrame):
-        rules = rules.select("host", "path", "verdict").na.drop()
-        n = max(1, -(-rules.count() // BLOCK_RULES))
-        for i in range(n):  # a host's rules are in one block
-            yield RuleTable(Rule(*row) for row in rules.filter(F.pmod(F.xxhash64("host"), F.lit(n)) == i).toLocalIterator())
-    else:
-        listed = sorted(set(rules))
-        for lo in range(0, len(listed), BLOCK_RULES):
-            yield RuleTable(listed[lo : lo + BLOCK_RULES])
+def _swept(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(key, rule): for every point key all interval keys that it begins with; both distinct, in a column key."""
+    spark = points.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = points.select("key", F.lit(1).alias("kind")).union(intervals.select("key", F.lit(0).alias("kind")))
+    sample = sorted(r.key for r in both.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect())
+    bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, row = [], []
+            for i, (key, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                lo = hi = bisect_right(bounds, key)
+                while not kind and hi < len(bounds) and bounds[hi].startswith(key):
+                    hi += 1
+                part += range(lo, hi + 1)
+                row += [i] * (hi + 1 - lo)
+            some = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *some.columns], names=["part", "key", "kind"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[str] = []
+        now = None
+        for batch in batches:
+            keys, rules = [], []
+            for part, key, kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if part != now:
+                    now, stack = part, []
+                while stack and not key.startswith(stack[-1]):
+                    stack.pop()
+                if kind:
+                    keys += [key] * len(stack)
+                    rules += stack
+                else:
+                    stack.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(rules, pa.string())], names=["key", "rule"])
+
+    dealt = both.mapInArrow(deal, "part int, key string, kind int")
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "key", "kind").mapInArrow(sweep, "key string, rule string")
+
+
+def _by_ranges(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, verdict) of the distinct hosts and paths that a rule fits; rules: host, path, verdict."""
+    key = lambda host: F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), _END), F.lit(_END))
+    block = F.max(F.struct((F.col("verdict") == "block").alias("first"), "verdict"))["verdict"]  # block goes before allow
+    rules = checkpointed(rules.groupBy("host", "path").agg(block.alias("verdict")).withColumn("rule", key(F.col("host"))))
+    asked = checkpointed(urls.select("host", "path").filter("host <> ''").distinct().withColumn("key", key(F.col("host"))))
+    open_ = _swept(asked.select("key").distinct(), rules.select(F.col("rule").alias("key")).distinct())
+    # each path under every rule host that its host is under, then the longest rule path that it begins with
+    spot = lambda rule: F.concat(rule, F.lit("\0"), F.col("path"))
+    held = checkpointed(asked.join(open_, "key").withColumn("key", spot(F.col("rule"))).drop("rule"))
+    fits = _swept(held.select("key").distinct(), rules.select(spot(F.col("rule")).alias("key")).distinct())
+    longest = fits.groupBy("key").agg(F.max(F.struct(F.length("rule").alias("n"), "rule"))["rule"].alias("spot"))
+    named = rules.select(spot(F.col("rule")).alias("spot"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
+    found = held.join(longest, "key").join(named, "spot").filter((F.col("host") == F.col("rule_host")) | F.endswith("host", F.concat(F.lit("."), "rule_host")))
+    name = F.concat("rule_host", "rule_path")
+    return found.groupBy("host", "path").agg(F.max(F.struct(F.length(name).alias("n"), F.length("rule_host").alias("m"), name.alias("rule"), "verdict")).alias("b")).select("host", "path", "b.rule", "b.verdict")
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame | Iterable[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -128,25 +184,29 @@ def filter_urls(urls: DataFrame, rules: DataFrame | Iterable[Rule], id_col: str
     no rule fits.  Repeated rows are judged alike, other columns are ignored, and an empty table gives an empty
     result.
     """
+    spark = urls.sparkSession
+    common.bounded_batches(spark)
     host, path = url_parts(F.col(url_col))
-    out = urls.select(F.col(id_col), host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("rule_host_chars"))
-    schema = out.schema
+    rows = urls.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(sorted(set(rules)), "host string, path string, verdict string")
+    rules = rules.select("host", "path", "verdict").na.drop().distinct()
+    few = rules.limit(BLOCK_RULES + 1).collect()
+    if len(few) > BLOCK_RULES:
+        out = rows.join(_by_ranges(rows, rules), ["host", "path"], "left")
+    else:
+        table = RuleTable(Rule(*r) for r in few)
 
-    def judged(rows: DataFrame, rules: RuleTable) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, verdicts = (pa.array([getattr(r, x) for r in table.rules], pa.string()) for x in ("name", "verdict"))
             for batch in batches:
-                best = np.empty(len(batch), object)
-                for i, (name, verdict, n) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                    if name is not None:
-                        best[i] = Rule(name[:n], name[n:], verdict)
-                judge(rules, batch.column(1), batch.column(2), best)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r and r.name for r in best], pa.string()), pa.array([r and r.verdict for r in best], pa.string()), pa.array([len(r.host) if r else 0 for r in best], pa.int32())], names=batch.schema.names)
-
-        return rows.mapInArrow(run, schema)
-
-    for block in _blocks(rules):
-        out = judged(out, block)
-    return out.select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+                best = judge(table, batch.column(1), batch.column(2))
+                at = pa.array(best, mask=best < 0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, names.take(at), verdicts.take(at)], names=[*batch.schema.names, "rule", "verdict"])
+
+        schema = T.StructType([*rows.schema, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+        out = rows.mapInArrow(run, schema)
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 RULES = [

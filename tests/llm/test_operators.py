@@ -1,5 +1,6 @@
 """The operators on awkward rows, and against brute force."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -50,12 +51,72 @@ def test_repetition_by_brute_force(spark):
 
 
 def test_license(spark):
-    texts = ["x\nLicensed under CC BY-NC 4.0.", "Released under the MIT License.", "His driving license was lost", "Licensed under the Foo Community License", "All rights reserved.", None, ""]
-    got = {r.doc_id: (r.paragraph, r.family) for r in license_scan.scan(rows(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()}
-    assert got == {0: (2, "CC-BY-NC"), 1: (1, "MIT"), 3: (1, "unknown"), 4: (1, "All-Rights-Reserved")}
+    texts = ["x\n\nLicensed under CC BY-NC 4.0.", "Released under the MIT License.", "His driving license was lost", "Licensed under the Foo Community License", "All rights reserved.", None, "", "This is\nlicensed under the GNU General\n  Public License, version 3.\nAll rights reserved.", "Code: Apache 2.0", "Released under Mozilla Public terms v. 2.0", "x.\n\n\nTerms: MPL 2.0"]
+    got = {}
+    for r in license_scan.scan(rows(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.family))
+    assert {i: sorted(x) for i, x in got.items()} == {0: [(3, "CC-BY-NC")], 1: [(1, "MIT")], 3: [(1, "unknown")], 4: [(1, "All-Rights-Reserved")], 7: [(1, "GPL"), (2, "All-Rights-Reserved")], 8: [(1, "Apache-2.0")], 9: [(1, "MPL-2.0")], 10: [(4, "MPL-2.0")]}
     assert license_scan.scan(empty(spark)).count() == 0 and license_scan.scan(rows(spark)).count() == 0
 
 
+HELD_OUT = [
+    ("Apache-2.0", "Covered by the Apache License, version 2.0, which you will find next to this text"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License'),
+    ("MIT", "Everything in this folder is MIT licensed under the MIT license"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"),
+    ("GPL", "It may be copied only under the GNU General Public License, version 2"),
+    ("GPL", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License"),
+    ("LGPL", "Linked libraries are under the GNU Lesser General Public License, version 3"),
+    ("AGPL", "The server is under the GNU Affero General Public License"),
+    ("BSD", "You may choose the BSD 2-Clause License"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+    ("MPL-2.0", "Our plug-ins fall under the Mozilla Public License 2.0"),
+    ("CC-BY", "Figures: CC BY 4.0, the authors"),
+    ("CC-BY-SA", "Text shared under CC BY-SA 3.0"),
+    ("CC-BY-NC", "Photographs are CC BY-NC-SA 2.0"),
+    ("CC0", "We place the tables under CC0 1.0 Universal"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"),
+    ("All-Rights-Reserved", "Copyright 2014 by Mary Major. All rights reserved."),
+    ("unknown", "Python Software Foundation License Version 2"),
+    ("unknown", "Boost Software License"),
+    ("unknown", "The Unlicense"),
+    ("unknown", "WTFPL license"),
+    ("unknown", "zlib License"),
+    ("unknown", "Licensed under the Harbour Data Licence"),
+    ("unknown", "Released under the Solderpad Hardware License v2.1"),
+    (None, "He said all rights reserved by citizens are holy"),
+    (None, "The bar owner waited a year for his liquor license"),
+    (None, "A licensed plumber has to look at the pipes"),
+    (None, "Students of MIT met people of the Apache tribe"),
+    (None, "The general public may visit the free library"),
+    (None, "Version 3 of the form was published in May"),
+    (None, "Copyright is a subject that lawyers study"),
+    (None, "The warranty covers wheels and brakes"),
+    (None, "The river has its source in the hills"),
+    (None, "She had permission to use the room for any purpose"),
+]
+
+
+def test_license_on_notices_it_has_not_seen(spark):
+    seen = {t for _, t in license_scan.examples()}
+    assert not seen & {t for _, t in HELD_OUT}
+    got = {r.doc_id: r.family for r in license_scan.scan(rows(spark, [(i, t, "", "") for i, (_, t) in enumerate(HELD_OUT)])).collect()}
+    wrong = [(got.get(i), want, t) for i, (want, t) in enumerate(HELD_OUT) if got.get(i) != want]
+    assert len(wrong) <= 1, wrong
+
+
+def test_license_gate_changes_nothing(spark, monkeypatch):
+    """Random paragraphs of the model's own words, scored with and without the gate."""
+    m, r = license_scan.model(), random.Random(4)
+    plain = sorted({w for g in m.weights for w in g.split()} - set(m.gate))
+    every = sorted({w for g in m.weights for w in g.split()})
+    texts = [" ".join(r.choices(plain, k=r.randint(1, 120))) for _ in range(150)] + [" ".join(r.choices(every, k=r.randint(1, 25))) for _ in range(150)] + [" ".join(plain)]
+    found = lambda: sorted(map(tuple, license_scan.scan(rows(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()))
+    gated = found()
+    monkeypatch.setattr(license_scan, "model", lambda: dataclasses.replace(m, gate=tuple(every)))
+    assert gated == found() and len(gated) >= 10
+
+
 def test_targets_and_flow():
     assert mixing.weight_targets([10, 100, 100], [5, 2, 1]) == [20.0, 196.66666666666666, 98.33333333333333]
     sent = mixing.min_cost_flow([((0,), 10), ((0, 1), 10), ((1,), 5)], [20, 12], 2)
@@ -301,9 +362,26 @@ def test_urls(spark, monkeypatch):
     judged = lambda rules: {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
     assert judged(url_filter.RULES) == want
     assert judged(spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")) == want
+    assert url_filter.filter_urls(pages.filter("false"), url_filter.RULES).count() == 0
     monkeypatch.setattr(url_filter, "BLOCK_RULES", 1)
     assert judged(url_filter.RULES) == want
     assert url_filter.filter_urls(pages.filter("false"), url_filter.RULES).count() == 0
+    assert judged([]) == {i: (None, "allow") for i in range(len(urls))}
+
+
+@pytest.mark.parametrize("most", [1000, 5])
+def test_urls_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BLOCK_RULES", most)
+    r = random.Random(3)
+    host = lambda n: ".".join(r.choice(["a", "b", "ab", "c"]) for _ in range(r.randint(1, n)))
+    path = lambda n: "".join("/" + r.choice(["x", "y", "xy", ""]) for _ in range(r.randint(0, n)))
+    rules = list({url_filter.Rule(host(3), path(3), r.choice(["block", "allow"])) for _ in range(60)})
+    urls = [f"http://{host(5)}{path(4)}{r.choice(['', '?q', '#f'])}" for _ in range(500)] + [None, "x", "http://a.\x01b/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    for x in url_filter.filter_urls(pages, rules).collect():
+        fit = [u for u in rules if (x.host == u.host or x.host.endswith("." + u.host)) and x.path.startswith(u.path)]
+        best = min(fit, key=lambda u: (-len(u.name), -len(u.host), u.verdict != "block"), default=None)
+        assert (x.rule, x.verdict) == ((best.name, best.verdict) if best else (None, "allow")), x
 
 
 def brute_repeats(docs, k=20):
