@@ -298,21 +298,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round, every node hooks to its least neighbour or itself, hooks are followed, and the links are drawn
     again between where their ends have gone; links inside a tree vanish.  A component's least node never moves,
-    so it is the last one left.  Nodes to which many others are linked are joined apart (common.spread_join).
+    so it is the last one left.  The joins are plain ones on one row for each node, so where many links share an
+    end, Spark's skew join splits them.
     """
     links = checkpointed(links.filter("a <> b").distinct())
     roots = None
-    while n := links.count():
+    while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = checkpointed(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p")))
-        hooks = checkpointed(spread_join(hooks, hooks.toDF("p", "q"), "p", hooks.count()).select("v", F.col("q").alias("p")))
+        hooks = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p"))
+        hooks = checkpointed(hooks.alias("x").join(hooks.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p")))
         if roots is None:
             roots = hooks.toDF("node", "root")
         else:
-            moved = spread_join(roots, hooks.toDF("root", "p"), "root", roots.count(), "left")
-            roots = checkpointed(moved.select("node", F.coalesce("p", "root").alias("root")))
-        ends = checkpointed(spread_join(links, hooks.toDF("a", "x"), "a", n).select("x", "b"))
-        ends = spread_join(ends, hooks.toDF("b", "y"), "b", n).filter("x <> y")
+            roots = checkpointed(roots.join(hooks, F.col("root") == F.col("v"), "left").select("node", F.coalesce("p", "root").alias("root")))
+        ends = links.join(hooks.toDF("a", "x"), "a").join(hooks.toDF("b", "y"), "b").filter("x <> y")
         links = checkpointed(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
