@@ -93,6 +93,17 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
     return out
 
 
+def majority(hashes, own: np.ndarray, texts: int) -> np.ndarray:
+    """For each text the bits that over half of its hashes have; hashes(part) gives those of a slice, own their text, rising."""
+    ones = np.zeros((texts, 64), np.int64)
+    for lo in range(0, len(own), UNPACK):
+        part = slice(lo, lo + UNPACK)
+        bits = np.unpackbits(hashes(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        edge = np.flatnonzero(np.r_[True, own[part][1:] != own[part][:-1]])
+        ones[own[part][edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.bincount(own, minlength=texts)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def prints(data: np.ndarray, offsets: np.ndarray, shingle: int = 4) -> np.ndarray:
     """SimHash of each text: the XXH64 (seed 42) of its word shingles, A-Z lower-cased, repeats included; no word: 0."""
     texts = len(offsets) - 1
@@ -107,14 +118,7 @@ def prints(data: np.ndarray, offsets: np.ndarray, shingle: int = 4) -> np.ndarra
     begin = np.repeat(first, np.maximum(n[n > 0] - shingle + 1, 1))
     begin += np.arange(len(own)) - np.searchsorted(own, own)
     last = begin + np.minimum(n[own], shingle) - 1
-    ones = np.zeros((texts, 64), np.int64)
-    for lo in range(0, len(own), UNPACK):
-        part = slice(lo, lo + UNPACK)
-        a = starts[begin[part]]
-        bits = np.unpackbits(xxh64(norm, a, ends[last[part]] - a).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        edge = np.flatnonzero(np.r_[True, own[part][1:] != own[part][:-1]])
-        ones[own[part][edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > np.bincount(own, minlength=texts)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return majority(lambda part: xxh64(norm, starts[begin[part]], ends[last[part]] - starts[begin[part]]), own, texts)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -246,49 +250,53 @@ def cell_links(cell: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int
     return _roots(parent, np.arange(n))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: int, rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Integer columns of the batches in pieces of about so many rows; rows with an equal first column stay together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for batch in batches:
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)))
+        n += len(batch)
+        if n >= rows and len(batch):  # all but the last run is whole
+            whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            if cut := int(np.searchsorted(whole[0], whole[0][-1])):
+                yield tuple(x[:cut] for x in whole)
+            held, n = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def celled(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Rows with the cell in which they are compared, and the side that they take there.
+
+    Rows of one key (more than CELL: dealt by item into a grid of cells, each pair of parts meeting in one) share
+    a cell.  Side: 0 and 1 are compared only with each other, 2 with all of its cell.
+    """
+    sizes = rows.groupBy(*keys).count().filter(F.col("count") > CELL).select(*keys, F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
+    sizes = checkpointed(sizes)
+    n_large = sizes.count()
+    if not n_large:
+        return rows.withColumn("cell", F.xxhash64(*keys)).withColumn("side", F.lit(2))
+    rows = rows.join(F.broadcast(sizes) if n_large <= 50_000 else sizes, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(item, F.lit(7)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("side", F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int")))
+    return rows.withColumn("cell", F.xxhash64(*keys, F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "part", "other")
+
+
 def links(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that join the same fingerprints as all pairs within the radius do; points: fp, n distinct ones."""
     masks = pieces(n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = points.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("way", "key"))
-    sizes = rows.groupBy("way", "key").count().filter(F.col("count") > CELL).select("way", "key", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
-    sizes = checkpointed(sizes)
-    if n_large := sizes.count():
-        rows = rows.join(F.broadcast(sizes) if n_large <= 50_000 else sizes, ["way", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        part = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
-        rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.withColumn("side", F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int")))
-        cell = F.xxhash64("way", "key", F.least("part", "other"), F.greatest("part", "other"))
-    else:
-        rows, cell = rows.withColumn("side", F.lit(2)), F.xxhash64("way", "key")
-    dealt = rows.select(cell.alias("cell"), "side", "fp")
+    dealt = celled(rows, ["way", "key"], "fp").select("cell", "side", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows_held = 0
-
-        def linked(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            cell, side, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for cell, side, fp in whole_runs(batches, 3, 8 * CELL):
             root = cell_links(cell, side, fp.view(np.uint64), radius)
             far = np.flatnonzero(root != np.arange(len(root)))
             a, b = fp[root[far]], fp[far]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            now = tuple(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            held.append(now)
-            rows_held += len(batch)
-            if rows_held >= 8 * CELL and len(batch):  # all but the last cell is whole
-                cell = np.concatenate([x[0] for x in held])
-                cut = int(np.searchsorted(cell, cell[-1]))
-                if cut:
-                    whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                    yield linked([tuple(x[:cut] for x in whole)])
-                    held = [tuple(x[cut:] for x in whole)]
-                    rows_held = len(cell) - cut
-        if rows_held:
-            yield linked(held)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
