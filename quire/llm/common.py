@@ -27,7 +27,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
 #: Bytes of an Arrow batch that goes to or from a Python worker.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 #: A value that more than one in so many rows have is joined by broadcast.
 HEAVY = 500
 
