@@ -191,7 +191,7 @@ def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -
     return out
 
 
-def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+def roots_of(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
     up = parent[at]
     while (more := parent[up] != up).any():
         up = np.where(more, parent[up], up)
@@ -242,12 +242,12 @@ def cell_links(cell: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int
             row, lane = np.nonzero(np.unpackbits(hit[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             x, y = query[left[part]][row], member[block[left[part]][row] * 64 + lane]
             while len(x):  # the larger root of each pair hooks to the smaller
-                x, y = _roots(parent, x), _roots(parent, y)
+                x, y = roots_of(parent, x), roots_of(parent, y)
                 apart = x != y
                 x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
                 np.minimum.at(parent, y, x)
         lo = hi
-    return _roots(parent, np.arange(n))
+    return roots_of(parent, np.arange(n))
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], columns: int, rows: int) -> Iterator[tuple[np.ndarray, ...]]:
