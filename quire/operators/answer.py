@@ -10,18 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.errors import IndexNotFound
+from quire.errors import ChatParseFailed, IndexNotFound, SelectionParseFailed
 from quire.functions.json_clean import json_object, schema_hint
 from quire.models.chat import ChatModel, structured
 from quire.operators.retrieve import select_nodes
+from quire.operators.tree import compact_json
 
 NO_SECTIONS = "No relevant sections were found in the document for this question."
 QA = T.StructType([T.StructField("answer", T.StringType()), T.StructField("reasoning", T.StringType())])
 
 
 def choose(trees: DataFrame, queries: DataFrame, model: ChatModel, most: int = 5) -> DataFrame:
-    """(document_id, query_id, node_ids, reasoning) as the model picks them from each compact tree.
+    """(document_id, query_id, node_ids, reasoning, failed) as the model picks them from each compact tree.
 
+    A call that fails, or a reply that can't be read, leaves its query without nodes and names the error in failed.
     trees: document_id, tree (JSON without texts); queries: document_id, query_id, query.
     """
 
@@ -30,18 +32,26 @@ def choose(trees: DataFrame, queries: DataFrame, model: ChatModel, most: int = 5
             out = []
             for row in frame.itertuples():
                 asked = [("system", f"Choose at most {most} sections that answer the question.\n{row.tree}"), ("user", row.query)]
-                got = structured(model, asked, '{"selected_node_ids": "array", "reasoning": "string"}', tags=["node-selection"])
-                out.append((row.document_id, row.query_id, [str(x) for x in got.get("selected_node_ids") or []], str(got.get("reasoning") or "")))
-            yield pd.DataFrame(out, columns=["document_id", "query_id", "node_ids", "reasoning"])
+                try:
+                    got = structured(model, asked, '{"selected_node_ids": "array", "reasoning": "string"}', tags=["node-selection"])
+                    out.append((row.document_id, row.query_id, [str(x) for x in got.get("selected_node_ids") or []], str(got.get("reasoning") or ""), None))
+                except ChatParseFailed:
+                    out.append((row.document_id, row.query_id, [], "", SelectionParseFailed.code))
+                except Exception as e:
+                    out.append((row.document_id, row.query_id, [], "", getattr(e, "code", "ERROR")))
+            yield pd.DataFrame(out, columns=["document_id", "query_id", "node_ids", "reasoning", "failed"])
 
-    return queries.join(trees, "document_id").mapInPandas(run, "document_id string, query_id string, node_ids array<string>, reasoning string")
+    return queries.join(trees, "document_id").mapInPandas(run, "document_id string, query_id string, node_ids array<string>, reasoning string, failed string")
 
 
 def search(nodes: DataFrame, trees: DataFrame, queries: DataFrame, model: ChatModel, most: int = 5) -> DataFrame:
-    """Context of each query from the sections that the model picks; INDEX_NOT_FOUND in error_code without a tree."""
-    found = select_nodes(nodes, choose(trees, queries, model, most), most)
+    """Context of each query from the sections that the model picks; error_code INDEX_NOT_FOUND without a tree, or
+    that of the call that failed."""
+    chosen = choose(trees, queries, model, most)
+    failed = chosen.select("document_id", "query_id", "failed")
+    found = select_nodes(nodes, chosen.drop("failed"), most).join(failed, ["document_id", "query_id"])
     out = queries.select("document_id", "query_id", "query").join(found, ["document_id", "query_id"], "left")
-    return out.withColumn("error_code", F.when(F.col("selected_node_ids").isNull(), IndexNotFound.code))
+    return out.withColumn("error_code", F.when(F.col("selected_node_ids").isNull(), IndexNotFound.code).otherwise(F.col("failed"))).drop("failed")
 
 
 def answer(contexts: DataFrame, model: ChatModel, schema: T.StructType | None = None) -> DataFrame:
@@ -94,17 +104,33 @@ def judge(rows: DataFrame, model: ChatModel) -> DataFrame:
     return out.withColumn("score", parse_score(got["score"])).withColumn("judge_reasoning", got["reasoning"]).drop("_reply")
 
 
+def evaluate(questions: DataFrame, nodes: DataFrame, model: ChatModel, judge_model: ChatModel) -> DataFrame:
+    """Every question answered from its document's tree and judged: the columns of questions with actual, source_pages,
+    score and judge_reasoning.
+
+    questions: question_id, document_id, question, expected_answer.  A document that is not indexed, or a call that
+    fails, gives a row with the score ERROR; summary() counts them.
+    """
+    queries = questions.select("document_id", F.col("question_id").alias("query_id"), F.col("question").alias("query"))
+    found = answer(search(nodes, compact_json(nodes), queries, model), model)
+    found = found.select(F.col("query_id").alias("question_id"), "document_id", F.when(F.col("error_code").isNull(), F.col("data")).alias("actual"), "source_pages", "error_code")
+    judged = judge(questions.join(found, ["question_id", "document_id"], "left"), judge_model)
+    told = F.concat(F.lit("ERROR: "), F.col("error_code"))
+    return judged.withColumn("actual", F.coalesce("actual", told)).withColumn("judge_reasoning", F.coalesce("judge_reasoning", F.col("error_code"))).drop("error_code")
+
+
 def parse_score(value: Column) -> Column:
     upper = F.upper(F.coalesce(value, F.lit("")))
     return F.when(upper.isin("CORRECT", "PARTIALLY_CORRECT", "INCORRECT"), upper).otherwise("ERROR")
 
 
 def summary(judged: DataFrame) -> DataFrame:
-    """Counts by score, accuracy, and mean times; the mean index time is of the distinct times."""
+    """Counts by score, accuracy, and mean times; the mean index time is of the distinct times.  All are 0 without rows."""
     n = F.count(F.lit(1))
     hits = lambda s: F.count_if(F.col("score") == s)
+    share = lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))
     return judged.agg(
         n.alias("total_questions"), hits("CORRECT").alias("correct"), hits("PARTIALLY_CORRECT").alias("partial"), hits("INCORRECT").alias("incorrect"), hits("ERROR").alias("errors"),
-        F.round(hits("CORRECT") / n, 6).alias("accuracy"), F.round((hits("CORRECT") + hits("PARTIALLY_CORRECT")) / n, 6).alias("lenient_accuracy"),
-        F.floor(F.avg("query_ms")).alias("avg_query_ms"), F.floor(F.sum_distinct("index_ms") / F.count_distinct("index_ms")).alias("avg_index_ms"),
+        F.round(share(hits("CORRECT")), 6).alias("accuracy"), F.round(share(hits("CORRECT") + hits("PARTIALLY_CORRECT")), 6).alias("lenient_accuracy"),
+        F.coalesce(F.floor(F.avg("query_ms")), F.lit(0)).alias("avg_query_ms"), F.coalesce(F.floor(F.try_divide(F.sum_distinct("index_ms"), F.count_distinct("index_ms"))), F.lit(0)).alias("avg_index_ms"),
     )

@@ -20,22 +20,22 @@ def search_text() -> Column:
 def bm25(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(document_id, query_id, node_id, preorder, score) of every node of a document for each of its queries.
 
-    queries: document_id, query_id, query.  Term counts are taken in place from a node's tokens, so only the
-    query's own terms are ever exploded.  Scores are rounded to six places, so ties don't depend on the order
-    of a sum; a node without a term has 0 and stays.
+    queries: document_id, query_id, query.  Of a node's tokens only those that a query of its document asks for are
+    exploded and counted; nodes without one meet the scores by their names alone.  Scores are rounded to six places,
+    so ties don't depend on the order of a sum; a node without a term has 0 and stays.
     """
-    corpus = nodes.select("document_id", "node_id", "preorder", tokenize(search_text()).alias("tokens"))
+    corpus = nodes.select("document_id", "node_id", tokenize(search_text()).alias("tokens"))
     about = corpus.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size("tokens")), F.lit(1.0)).alias("mean"))
-    asked = queries.select("document_id", "query_id", tokenize(F.col("query")).alias("asked"))
-    rows = corpus.join(asked, "document_id")
-    hits = F.filter(F.transform(F.array_distinct("asked"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf"), F.size(F.filter("asked", lambda x: x == t)).alias("qtf"))), lambda h: h["tf"] > 0)
-    rows = rows.select("document_id", "query_id", "node_id", "preorder", F.size("tokens").alias("len"), hits.alias("hits"))
-    found = rows.select("document_id", "query_id", "node_id", "len", F.inline("hits"))
-    df = found.groupBy("document_id", "query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    found = found.join(df, ["document_id", "query_id", "term"]).join(about, "document_id")
+    asked = queries.select("document_id", "query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("document_id", "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = asked.groupBy("document_id").agg(F.collect_set("term").alias("terms"))
+    hits = corpus.join(terms, "document_id").select("document_id", "node_id", F.size("tokens").alias("len"), F.explode(F.filter("tokens", lambda x: F.array_contains("terms", x))).alias("term"))
+    tf = hits.groupBy("document_id", "term", "node_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    found = tf.join(df, ["document_id", "term"]).join(about, "document_id").join(asked, ["document_id", "term"])
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("mean")))
     scores = found.groupBy("document_id", "query_id", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
+    rows = nodes.select("document_id", "node_id", "preorder").join(queries.select("document_id", "query_id"), "document_id")
     return rows.select("document_id", "query_id", "node_id", "preorder").join(scores, ["document_id", "query_id", "node_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

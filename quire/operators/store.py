@@ -13,10 +13,11 @@ BUCKETS = 64
 
 
 class TreeStore:
-    """Rows keyed by document_id as Parquet under a path, partitioned by a hash of the id.
+    """Rows keyed by document_id as Parquet under a path, by a hash of the id and a version.
 
-    A write replaces whole partitions, those of the documents it holds alone, so the last write wins and a
-    lookup reads one partition.
+    Writes only append: a save is a new version of its documents, a delete a line that ends them, so no file that a
+    plan may still read is ever replaced, and a write costs as much as its own rows.  The latest version of a
+    document counts.  A lookup reads one hash bucket; compact() writes what counts to a new place.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
@@ -25,45 +26,56 @@ class TreeStore:
     def _bucket(self):
         return F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
 
-    def all(self) -> DataFrame | None:
+    def _read(self, part: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.path)
+            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{part}")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
 
-    def _replace(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+    def _append(self, rows: DataFrame, part: str) -> None:
+        last = max((x.agg(F.max("version")).first()[0] or 0 for x in (self._read("rows"), self._read("gone")) if x is not None), default=0)
+        made = rows.withColumn("bucket", self._bucket()).withColumn("version", F.lit(last + 1))
+        made.write.mode("append").partitionBy("bucket", "version").parquet(f"{self.path}/{part}")
+
+    def _current(self, keep=None) -> DataFrame | None:
+        rows, gone = self._read("rows"), self._read("gone")
+        if rows is None:
+            return None
+        rows, gone = (x if x is None or keep is None else x.filter(keep) for x in (rows, gone))
+        marks = rows.select("document_id", "version", F.lit(True).alias("there"))
+        if gone is not None:
+            marks = marks.unionByName(gone.select("document_id", "version", F.lit(False).alias("there")))
+        latest = marks.groupBy("document_id").agg(F.max(F.struct("version", "there")).alias("m")).filter("m.there").select("document_id", F.col("m.version").alias("version"))
+        return rows.join(latest, ["document_id", "version"], "left_semi").drop("bucket", "version")
+
+    def all(self) -> DataFrame | None:
+        return self._current()
 
     def save(self, rows: DataFrame) -> None:
-        new, old = rows.withColumn("bucket", self._bucket()), self.all()
-        if old is not None:
-            touched = new.select("bucket").distinct()
-            stay = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("document_id").distinct(), "document_id", "left_anti")
-            new = new.unionByName(stay.select(*new.columns)).checkpoint() if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.unionByName(stay.select(*new.columns)).persist()
-            new.count()
-        self._replace(new)
+        self._append(rows, "rows")
 
     def find(self, document_id: str) -> DataFrame | None:
-        rows = self.all()
-        if rows is None:
-            return None
         bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(document_id)), F.lit(self.buckets)).cast("int")).first()[0]
-        return rows.filter((F.col("bucket") == bucket) & (F.col("document_id") == document_id)).drop("bucket")
+        return self._current((F.col("bucket") == bucket) & (F.col("document_id") == document_id))
 
     def delete(self, document_id: str) -> None:
-        rows = self.all()
-        if rows is not None:
-            kept = rows.filter(F.col("document_id") != document_id).persist()
-            kept.count()
-            kept.write.mode("overwrite").partitionBy("bucket").parquet(self.path)
+        if self._read("rows") is not None:
+            self._append(self.spark.createDataFrame([(document_id,)], "document_id string"), "gone")
 
     def missing(self, pages: DataFrame) -> DataFrame:
         """Pages of documents that are not stored; others are left as they are."""
         rows = self.all()
         return pages if rows is None else pages.join(rows.select("document_id").distinct(), "document_id", "left_anti")
 
+    def compact(self, path: str) -> TreeStore:
+        """A store at another path with the latest version of every document."""
+        other, rows = TreeStore(self.spark, path, self.buckets), self.all()
+        if rows is not None:
+            other.save(rows)
+        return other
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:
     """Old rows whose key has no new row, and all new rows."""

@@ -217,16 +217,23 @@ def _with_summaries(nodes: DataFrame, told: DataFrame) -> DataFrame:
 def embed(nodes: DataFrame, embedder: Callable[[list[str]], list[Sequence[float]]]) -> DataFrame:
     """(document_id, node_id, embedding): leaves by the model in batches, parents as the mean of their children.
 
-    Levels go from the deepest up; each is a join on the parent, and there are as many as the tree is deep.
+    Levels go from the deepest up; each is a join on the parent, and there are as many as the tree is deep.  A batch
+    that fails leaves its leaves without a vector, and parents pool the children that have one.
     """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            listed = s.tolist()
-            yield pd.Series([[float(v) for v in x] for lo in range(0, len(listed), EMBED_BATCH) for x in embedder(listed[lo : lo + EMBED_BATCH])])
+            listed, out = s.tolist(), []
+            for lo in range(0, len(listed), EMBED_BATCH):
+                part = listed[lo : lo + EMBED_BATCH]
+                try:
+                    out += [[float(v) for v in x] for _, x in zip(part, embedder(part), strict=True)]
+                except Exception:  # these leaves have no vector
+                    out += [None] * len(part)
+            yield pd.Series(out, dtype=object)
 
-    out = nodes.filter("is_leaf and text is not null").select("document_id", "node_id", vector(F.concat(F.col("title"), F.lit(": "), F.col("text"))).alias("embedding")).persist()
+    out = nodes.filter("is_leaf and text is not null").select("document_id", "node_id", vector(F.concat(F.col("title"), F.lit(": "), F.col("text"))).alias("embedding")).filter("embedding is not null").persist()
     deepest = nodes.agg(F.max("depth")).first()[0] or 1
     for depth in range(deepest, 1, -1):
         level = nodes.filter(F.col("depth") == depth).filter("parent_id is not null").select("document_id", "node_id", "parent_id").join(out, ["document_id", "node_id"])
@@ -239,7 +246,7 @@ def verify(entries: DataFrame, pages: DataFrame, model: ChatModel, sample: int =
     """Entries with a physical page, checked: document_id, entry_pos, title, physical_index, checked, correct.
 
     sample entries of each document by a seeded order (0: all).  Without its page an entry isn't asked about
-    and counts as correct; a reply that says no, or can't be read, makes it incorrect.
+    and counts as correct; a reply that says no, or can't be read, makes it incorrect; after a failed call correct is null.
     """
     rows = entries.filter("physical_index is not null")
     if sample > 0:
@@ -252,7 +259,10 @@ def verify(entries: DataFrame, pages: DataFrame, model: ChatModel, sample: int =
         def one(t, p):
             if p is None:
                 return True
-            found = parse(_ask(model, "verification", render("verification", title=t, page_text=p)), dict)
+            try:
+                found = parse(_ask(model, "verification", render("verification", title=t, page_text=p)), dict)
+            except Exception:  # not checked: no result
+                return None
             return found is not None and str(found.get("answer", "no")).strip().lower() != "no"
 
         return pd.Series([one(t, p) for t, p in zip(title, page, strict=True)])
@@ -261,8 +271,10 @@ def verify(entries: DataFrame, pages: DataFrame, model: ChatModel, sample: int =
     return out.select("document_id", "entry_pos", "title", "physical_index", F.col("page_text").isNotNull().alias("checked"), right("title", "page_text").alias("correct"))
 
 
-def accuracy(verified: DataFrame) -> DataFrame:
-    return verified.groupBy("document_id").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
+def accuracy(verified: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(document_id, accuracy); of the documents given, those with nothing to verify have 1."""
+    found = verified.groupBy("document_id").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    return found if documents is None else documents.select("document_id").distinct().join(found, "document_id", "left").withColumn("accuracy", F.coalesce("accuracy", F.lit(1.0)))
 
 
 def fix(entries: DataFrame, verified: DataFrame, pages: DataFrame, model: ChatModel, config: IndexingConfig) -> DataFrame:
@@ -275,7 +287,13 @@ def fix(entries: DataFrame, verified: DataFrame, pages: DataFrame, model: ChatMo
 
     @F.pandas_udf(T.IntegerType())
     def place(title: pd.Series, shown: pd.Series) -> pd.Series:
-        return pd.Series([_tag_number((parse(_ask(model, "fix", render("fix", title=t, pages_text=s)), dict) or {}).get("physical_index")) for t, s in zip(title, shown, strict=True)], dtype="Int32")
+        def one(t, s):
+            try:
+                return _tag_number((parse(_ask(model, "fix", render("fix", title=t, pages_text=s)), dict) or {}).get("physical_index"))
+            except Exception:  # the entry stays
+                return None
+
+        return pd.Series([one(t, s) for t, s in zip(title, shown, strict=True)], dtype="Int32")
 
     moved = asked.select("document_id", "entry_pos", place("title", "shown").alias("_new"))
     return entries.join(moved, ["document_id", "entry_pos"], "left").withColumn("physical_index", F.coalesce("_new", "physical_index")).drop("_new").select(*entries.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.config import IndexingConfig
+from quire.engine import Engine
 from quire.functions import json_clean as J
 from quire.functions import text as X
 from quire.functions.vectors import mean_pool
@@ -329,7 +330,10 @@ def tree_metadata(spark, d):
     return tree.metadata(_md_tree(spark, d), FX.md_pages(spark, d))
 
 
-@query()
+# the tree is written out in preorder: a node opens its object, and closes it with those of all ancestors that end with it
+@query(f"""{_MD_NODES}, o AS (SELECT *, lead(depth) OVER (PARTITION BY document_id ORDER BY preorder) AS nxt, lag(depth) OVER (PARTITION BY document_id ORDER BY preorder) AS prv FROM nodes)
+  SELECT document_id, '[' || string_agg(CASE WHEN prv IS NULL OR depth > prv THEN '' ELSE ', ' END || '{{"nodeId": ' || to_json(node_id)::VARCHAR || ', "title": ' || to_json(title)::VARCHAR || ', "summary": null, "level": ' || level || ', "startPage": ' || start_page || ', "endPage": ' || end_page || ', "children": ['
+    || CASE WHEN nxt IS NULL THEN repeat('], "text": null}}', depth) WHEN nxt <= depth THEN repeat('], "text": null}}', depth - nxt + 1) ELSE '' END, '' ORDER BY preorder) || ']' AS tree FROM o GROUP BY document_id""")
 def compact_tree_json(spark, d):
     return tree.compact_json(_md_tree(spark, d))
 
@@ -367,16 +371,16 @@ def bm25_topk(spark, d):
 
 
 def _vector_queries(spark, d) -> DataFrame:
-    one = FX.table(spark, d, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("vector"))
-    docs = FX.vectors(spark, d).select("document_id").distinct()
-    return docs.join(F.broadcast(one), F.lit(True)).select("document_id", F.lit("q1").alias("query_id"), "vector")
+    asked = FX.table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    docs = FX.vectors(spark, d).select("document_id").distinct()  # the stated query set, against every document
+    return asked.join(F.broadcast(docs), F.lit(True)).select("document_id", "query_id", "vector")
 
 
-_COSINE = f"""{FX.VECTORS}, one AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
-cosines AS (SELECT document_id, 'q1' AS query_id, node_id, preorder, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: embedding[i]::DOUBLE * v[i]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS score FROM vectors, one)"""
+_COSINE = f"""{FX.VECTORS}, one AS (SELECT 'q' || vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
+cosines AS (SELECT document_id, query_id, node_id, preorder, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: embedding[i]::DOUBLE * v[i]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS score FROM vectors, one)"""
 
 
-@query(f"WITH {_COSINE} SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY score DESC, preorder) - 1)::INT AS rank FROM cosines")
+@query(f"WITH {_COSINE} SELECT *, (row_number() OVER (PARTITION BY document_id, query_id ORDER BY score DESC, preorder) - 1)::INT AS rank FROM cosines")
 def cosine_rank(spark, d):
     nodes = FX.vectors(spark, d)
     return retrieve.ranked(retrieve.by_cosine(nodes.drop("embedding"), nodes, _vector_queries(spark, d)))
@@ -534,11 +538,37 @@ def store_upsert(spark, d):
     return store.upsert(rows("doc_id % 3 <> 0", "old"), rows("doc_id % 2 = 0", "new"))
 
 
-@query("SELECT doc_id::VARCHAR AS document_id, CASE WHEN doc_id % 3 <> 0 THEN 'stored' ELSE 'built' END AS origin FROM documents")
+def _store(spark) -> store.TreeStore:
+    """An empty store in the shared folder."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return store.TreeStore(spark, f"{base.rstrip('/')}/quire-store-{uuid.uuid4().hex}")
+
+
+@query("WITH d AS (SELECT doc_id::VARCHAR AS document_id, doc_id, n_chars FROM documents WHERE doc_id IS NOT NULL) SELECT document_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version, n_chars FROM d WHERE (doc_id % 2 = 0 OR doc_id % 3 <> 0) AND doc_id NOT IN (4, 5)")
+def tree_store(spark, d):
+    """Saved, saved again in part, and two documents deleted."""
+    docs, held = FX.table(spark, d, "documents").filter("doc_id is not null"), _store(spark)
+    rows = lambda keep, name: docs.filter(keep).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(name).alias("version_name"), "n_chars")
+    held.save(rows("doc_id % 3 <> 0", "old"))
+    held.save(rows("doc_id % 2 = 0", "new"))
+    for gone in ("4", "5"):
+        held.delete(gone)
+    return held.all().select("document_id", F.col("version_name").alias("version"), "n_chars")
+
+
+@query(f"""WITH {FX.DOC_PAGES}, p AS (SELECT document_id, count(*)::INT AS total_pages FROM doc_pages GROUP BY document_id)
+  SELECT document_id, CASE WHEN document_id::BIGINT % 3 <> 0 THEN 1 ELSE total_pages END AS total_pages, 'FLAT_PAGES' AS indexing_method, NULL::VARCHAR AS error_code FROM p
+  UNION ALL SELECT 'none', NULL, NULL, 'NO_PAGES_PROVIDED'""")
 def build_if_absent(spark, d):
-    docs = FX.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "doc_id")
-    stored = docs.filter("doc_id % 3 <> 0").select("document_id", F.lit("stored").alias("origin"))
-    return stored.unionByName(docs.join(stored, "document_id", "left_anti").select("document_id", F.lit("built").alias("origin")))
+    """Two thirds of the documents are stored with one short page; what is built is the rest."""
+    made = Engine(_store(spark))
+    pages = FX.doc_pages(spark, d)
+    stored = pages.filter("cast(document_id as bigint) % 3 <> 0").select("document_id").distinct().select("document_id", F.lit(1).alias("page_number"), F.lit("x").alias("text"))
+    made.build(stored, SMALL)
+    return made.build(pages, SMALL, spark.createDataFrame([("none",)], "document_id string")).select("document_id", "total_pages", "indexing_method", "error_code")
 
 
 @query("SELECT user_id AS key, max(event_id) AS last_used FROM events GROUP BY user_id ORDER BY last_used DESC, key LIMIT 25")
@@ -566,15 +596,42 @@ def _contexts(spark, d):
     return answer.search(nodes, tree.compact_json(nodes), _asked(nodes, _MD_QUESTION), RuleModel(_assistant))
 
 
-@query()
+_THIRD = f"""{_MD_NODES}, ctx AS (SELECT document_id, 'q1' AS query_id, '{_MD_QUESTION}' AS query, ['0003'] AS selected_node_ids, '--- Section: ' || title || ' (Pages ' || start_page || '-' || end_page || ') ---' || chr(10) || coalesce(text, '') AS sections_text, range(start_page, end_page + 1)::INT[] AS source_pages FROM nodes WHERE node_id = '0003')"""
+_COUNTED = "(length(sections_text) + length('Answer from these sections.') + 1) || ' characters'"
+
+
+@query(f"{_THIRD} SELECT document_id, query_id, query, selected_node_ids, 'counted' AS reasoning, sections_text, source_pages, NULL::VARCHAR AS error_code, {_COUNTED} AS data FROM ctx")
 def text_query(spark, d):
     return answer.answer(_contexts(spark, d), RuleModel(_assistant))
 
 
-@query()
+def _judge(messages, tags):
+    """A stand-in for a judge: the same text is correct, the same number of digits partly."""
+    import json
+    import re
+
+    want, got = re.search(r"Expected: (.*)\nActual: (.*)\n", messages[-1][1]).groups()
+    return json.dumps({"score": "CORRECT" if want == got else "PARTIALLY_CORRECT" if len(want) == len(got) else "INCORRECT", "reasoning": "compared"})
+
+
+@query(f"""{_THIRD}, asked AS (SELECT document_id AS question_id, document_id, {_COUNTED} AS actual, source_pages, CASE WHEN document_id = '1' THEN {_COUNTED} WHEN document_id = '2' THEN '0' ELSE '000 characters' END AS expected_answer FROM ctx)
+  SELECT question_id, document_id, '{_MD_QUESTION}' AS question, expected_answer, actual, source_pages, CASE WHEN actual = expected_answer THEN 'CORRECT' WHEN length(actual) = length(expected_answer) THEN 'PARTIALLY_CORRECT' ELSE 'INCORRECT' END AS score, 'compared' AS judge_reasoning FROM asked
+  UNION ALL SELECT 'none', 'none', '{_MD_QUESTION}', '0', 'ERROR: INDEX_NOT_FOUND', NULL, 'ERROR', 'INDEX_NOT_FOUND'""")
+def bench_run(spark, d):
+    """Each document asked, and one that is not there; one expected answer is what the reader says."""
+    nodes = _md_tree(spark, d).persist()
+    found = answer.answer(answer.search(nodes, tree.compact_json(nodes), _asked(nodes, _MD_QUESTION), RuleModel(_assistant)), RuleModel(_assistant))
+    expected = F.when(F.col("document_id") == "1", F.col("data")).when(F.col("document_id") == "2", "0").otherwise("000 characters")
+    asked = found.select(F.col("document_id").alias("question_id"), "document_id", F.lit(_MD_QUESTION).alias("question"), expected.alias("expected_answer"))
+    asked = asked.unionByName(spark.createDataFrame([("none", "none", _MD_QUESTION, "0")], "question_id string, document_id string, question string, expected_answer string"))
+    return answer.evaluate(asked, nodes, RuleModel(_assistant), RuleModel(_judge))
+
+
+@query(f"{_THIRD} SELECT document_id, query_id, query, selected_node_ids, 'third' AS reasoning, sections_text, source_pages, NULL::VARCHAR AS error_code, {_COUNTED} AS answer, 'counted' AS told FROM ctx")
 def typed_query(spark, d):
     schema = T.StructType.fromDDL("answer string, reasoning string")
-    return answer.typed(answer.answer(_contexts(spark, d), RuleModel(_assistant), schema), schema)
+    found = answer.typed(answer.answer(_contexts(spark, d), RuleModel(_assistant), schema), schema)
+    return found.select("*", F.col("data.answer").alias("answer"), F.col("data.reasoning").alias("told")).drop("data")
 
 
 @query(f"""{_MD_NODES}, e AS (SELECT document_id, node_id, parent_id, depth, [length(title || ': ' || text)::DOUBLE, 1.0::DOUBLE] AS v FROM nodes WHERE is_leaf AND text IS NOT NULL),

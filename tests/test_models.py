@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.config import IndexingConfig
 from quire.errors import ChatParseFailed
@@ -111,3 +112,58 @@ def test_store_and_stream(spark, tmp_path):
     trees = TreeStore(spark, str(tmp_path / "built"), buckets=4)
     index_pages(spark.readStream.schema(pages.schema).parquet(str(tmp_path / "pages")), trees, str(tmp_path / "check")).awaitTermination(120)
     assert trees.find("x").count() == 3 and trees.find("y").first().title == "Page 1"
+
+
+def test_versions_of_the_store(spark, tmp_path):
+    store = TreeStore(spark, str(tmp_path / "trees"), buckets=4)
+    for v in (1, 2, 3):
+        store.save(spark.createDataFrame([(f"d{i}", v) for i in range(v, 6)], "document_id string, v int"))
+    store.delete("d5")
+    store.save(spark.createDataFrame([("d4", 9)], "document_id string, v int"))
+    want = {"d1": 1, "d2": 2, "d3": 3, "d4": 9}
+    assert {r.document_id: r.v for r in store.all().collect()} == want
+    assert store.find("d5").count() == 0 and store.find("d4").first().v == 9
+    assert {r.document_id: r.v for r in store.compact(str(tmp_path / "small")).all().collect()} == want
+    store.save(spark.createDataFrame([("d5", 7)], "document_id string, v int"))
+    assert store.find("d5").first().v == 7
+
+
+def test_engine(spark, tmp_path):
+    from quire.engine import Engine
+    from quire.errors import NoPages
+
+    made = Engine(TreeStore(spark, str(tmp_path / "e"), buckets=2), RuleModel(_outline), lambda texts: [[float(len(t)), 1.0] for t in texts])
+    pages = spark.createDataFrame([("toc", 1, "LIST"), ("toc", 2, "x" * 40), ("md", 1, "# A\n# B\n# C")], "document_id string, page_number int, text string")
+    asked = spark.createDataFrame([("none",)], "document_id string")
+    got = {r.document_id: (r.indexing_method, r.error_code) for r in made.build(pages, documents=asked).collect()}
+    assert got == {"toc": ("TOC_WITHOUT_PAGES", None), "md": ("HEADER_BASED", None), "none": (None, "NO_PAGES_PROVIDED")}
+    changed = made.build(pages.filter("document_id = 'md'").withColumn("text", F.lit("# Z\n# Y\n# X"))).collect()
+    assert len(changed) == 1 and "A" in {r.title for r in made.store.find("md").collect()}
+    assert all(len(r.embedding) == 2 for r in made.store.find("md").collect())
+    with pytest.raises(NoPages):
+        made.build_one("empty", [])
+    with pytest.raises(ValueError):
+        Engine(made.store, max_nodes=0)
+
+
+def _broken(messages, tags):
+    raise RuntimeError
+
+
+def test_failed_calls_fail_no_job(spark):
+    from quire.config import IndexingConfig
+    from quire.operators import tree
+
+    pages = spark.createDataFrame([("d", 1, "# A\n# B\n# C")], "document_id string, page_number int, text string")
+    nodes = tree.build(__import__("quire.operators.detect", fromlist=["x"]).by_headers(pages, IndexingConfig(min_header_count=2)), pages)
+    model = RuleModel(_broken)
+    queries = nodes.select("document_id").distinct().select("document_id", F.lit("q").alias("query_id"), F.lit("?").alias("query"))
+    assert [r.error_code for r in answer.search(nodes, tree.compact_json(nodes), queries, model).collect()] == ["ERROR"]
+    entries = spark.createDataFrame([("d", 1, "A", None, 1, 1, None, "X", None)], "document_id string, entry_pos int, title string, page_number int, physical_index int, level int, structure string, method string, last_content_page int")
+    verified = with_model.verify(entries, pages, model)
+    assert [r.correct for r in verified.collect()] == [None]
+    assert with_model.fix(entries, verified.withColumn("correct", F.lit(False)), pages, model, IndexingConfig()).first().physical_index == 1
+    assert with_model.embed(nodes, lambda texts: 1 / 0).count() == 0
+    assert with_model.accuracy(verified.filter("false"), pages).first().accuracy == 1.0
+    empty = spark.createDataFrame([], "score string, query_ms long, index_ms long")
+    assert answer.summary(empty).first().accuracy == 0.0
