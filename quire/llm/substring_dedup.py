@@ -31,9 +31,9 @@ from quire.llm.common import checkpointed
 WINDOW = 20
 MINIMISER = 4
 #: Bytes of text a task packs at once; also the scope of the first, local comparison.
-PACK = 4 << 20
+PACK = 3 << 20
 #: Bytes of text for each bucket, and buckets for each partition, about.
-BUCKET_TEXT, BUCKETS = 2 << 20, 8
+BUCKET_TEXT, BUCKETS = 1 << 20, 16
 #: Buckets over which the copies of a common window are spread before they meet.
 SALTS = 64
 #: About so many texts are looked at for common minimisers, and one in so many of them makes a minimiser common.
