@@ -5,6 +5,7 @@ import re
 from fractions import Fraction
 
 import corpus_pipeline
+from quire.llm import near_copies, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,6 +51,17 @@ def test_jaccard_against_brute_force(spark):
         assert got == sorted(set(brute_groups(texts)))
 
 
+def test_cells_of_large_families_and_tokens(spark, monkeypatch):
+    """The same with grids of small cells, for shingles of many texts and for families of many."""
+    monkeypatch.setattr(simhash, "CELL", 3)
+    monkeypatch.setattr(near_copies, "CELL_SHINGLES", 150)
+    monkeypatch.setattr(near_copies, "PAIRS", 40)
+    texts = near_texts(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(x.doc_id for x in near_copies.one_of_each(docs).collect()) == sorted(set(brute_groups(texts)))
+    assert near_copies.one_of_each(docs.filter("false")).count() == 0
+
+
 def test_rows_without_an_id(spark):
     base = [f"w{i}" for i in range(60)]
     near = lambda words, k: " ".join([*words[:-k], *(f"x{k}{i}" for i in range(k))])
