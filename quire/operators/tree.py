@@ -6,6 +6,9 @@ text, path (titles from the root to the node), path_ids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +20,36 @@ NODE = ["document_id", "node_id", "parent_id", "preorder", "depth", "level", "ti
 _LATE = 2147483647
 
 
+_BODY = "document_id string, node_id string, parent_id string, preorder int, depth int, level int, title string, summary string, start_page int, end_page int, is_leaf boolean, path array<string>, path_ids array<string>"
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each entry of each document; rows come in page order."""
+    text, number = pa.string(), pa.int32()
+    kinds = [text, text, text, number, number, number, text, text, number, number, pa.bool_(), pa.list_(text), pa.list_(text)]
+    for batch in batches:
+        for document, last, front, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows: list[list] = []
+            open_: list[int] = []  # the entry before and its ancestors
+            for i, x in enumerate(entries):
+                while open_ and entries[open_[-1]]["level"] >= x["level"]:
+                    row = rows[open_.pop()]
+                    row[9] = max((row[8] if x["at"] is None else x["at"]) - 1, row[8])
+                if open_:
+                    rows[open_[-1]][10] = False
+                up = rows[open_[-1]] if open_ else None
+                ident = f"{i + 1 + front:04d}"
+                path, ids = ([*up[11], x["title"]], [*up[12], ident]) if up else ([x["title"]], [ident])
+                rows.append([document, ident, up and up[1], i + 1 + front, len(path), x["level"], x["title"], None, 1 if x["at"] is None else x["at"], last, True, path, ids])
+                open_.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _BODY.split(", ")])
+
+
 def sections(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """Entries in page order as nested page ranges, with front matter in front; no text yet.
 
-    One shuffle brings a document's entries together; nesting and ends are folds over that array: the parent is
-    the nearest earlier entry of a lower level, and a section ends before the next entry of its level or lower.
+    One shuffle brings a document's entries together; nesting and ends come from one pass with a stack: the parent
+    is the nearest earlier entry of a lower level, and a section ends before the next entry of its level or lower.
     """
     last = pages.groupBy("document_id").agg(F.max("page_number").alias("max_page"))
     place = F.coalesce("physical_index", "page_number")
@@ -30,35 +58,7 @@ def sections(entries: DataFrame, pages: DataFrame) -> DataFrame:
     first = F.coalesce(F.expr("e[0].at"), F.lit(1))
     front = F.when(first > 1, 1).otherwise(0)
     docs = docs.withColumn("front", front).withColumn("last", F.coalesce("cap", "max_page", F.lit(0)))
-    fold = """
-      aggregate(e, named_struct('i', 0, 'up', cast(array() as array<struct<id: string, level: int, title: string>>),
-                  'out', cast(array() as array<struct<id: string, parent: string, path: array<string>, path_ids: array<string>>>)),
-        (a, x) -> transform(array(named_struct('id', format_string('%04d', a.i + 1 + front), 'up', filter(a.up, u -> u.level < x.level))), s -> named_struct(
-          'i', a.i + 1,
-          'up', array_append(s.up, named_struct('id', s.id, 'level', x.level, 'title', x.title)),
-          'out', array_append(a.out, named_struct('id', s.id, 'parent', get(s.up, size(s.up) - 1).id,
-             'path', array_append(transform(s.up, u -> u.title), x.title), 'path_ids', array_append(transform(s.up, u -> u.id), s.id)))))[0],
-        a -> a.out)"""
-    span = """
-      transform(e, (x, i) -> named_struct('entry', x, 'preorder', i + 1 + front, 'start', coalesce(x.at, 1),
-        'next', get(filter(slice(e, i + 2, size(e)), y -> y.level <= x.level), 0),
-        'is_leaf', coalesce(get(e, i + 1).level <= x.level, true)))"""
-    rows = docs.select("document_id", "last", "front", "e", F.expr(fold).alias("nest"), F.expr(span).alias("span"))
-    body = rows.select("document_id", "last", F.inline(F.arrays_zip("nest", "span"))).select(
-        "document_id",
-        F.col("nest.id").alias("node_id"),
-        F.col("nest.parent").alias("parent_id"),
-        F.col("span.preorder").alias("preorder"),
-        F.size("nest.path").alias("depth"),
-        F.col("span.entry.level").alias("level"),
-        F.col("span.entry.title").alias("title"),
-        F.lit(None).cast("string").alias("summary"),
-        F.col("span.start").alias("start_page"),
-        F.when(F.col("span.next").isNull(), F.col("last")).otherwise(F.greatest(F.coalesce("span.next.at", "span.start") - 1, F.col("span.start"))).cast("int").alias("end_page"),
-        F.col("span.is_leaf").alias("is_leaf"),
-        F.col("nest.path").alias("path"),
-        F.col("nest.path_ids").alias("path_ids"),
-    )
+    body = docs.select("document_id", "last", "front", "e").mapInArrow(_nested, _BODY)
     lead = docs.filter("front = 1").select(
         "document_id", F.lit("0001").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("preorder"), F.lit(1).alias("depth"), F.lit(1).alias("level"),
         F.lit("Front Matter").alias("title"), F.lit(None).cast("string").alias("summary"), F.lit(1).alias("start_page"), (first - 1).cast("int").alias("end_page"), F.lit(True).alias("is_leaf"),
