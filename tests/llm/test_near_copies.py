@@ -5,6 +5,7 @@ import re
 from fractions import Fraction
 
 import corpus_pipeline
+import numpy as np
 from quire.llm import near_copies, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,3 +72,26 @@ def test_rows_without_an_id(spark):
     got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "").collect()]
     assert [x for x in got if x[0] is not None] == [docs[0]]
     assert sorted(t.split()[0] for i, t in got if i is None) == ["on", "u0"]
+
+
+def test_unrelated_texts_that_share_lines_are_told_apart_early(spark, monkeypatch):
+    """What unrelated texts share by chance grows with the square of a table, so hardly any of them may become a family."""
+    monkeypatch.setattr(near_copies, "COMMON", 1 << 30)
+    r = random.Random(3)
+    lines = [[f"l{i}x{j}" for j in range(5)] for i in range(5)]
+    texts = [" ".join([*sum(r.sample(lines, 2), []), *(f"w{r.randrange(10**6)}" for _ in range(120))]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = docs.select(near_copies.node(docs.text).alias("node"), "text").repartition(3)
+    found = near_copies.candidates(named).select("a", "b").collect()
+    assert len({x for row in found for x in row}) <= 100
+    assert near_copies.one_of_each(docs).count() == 400
+
+
+def test_blocks_of_wide_and_narrow_rows():
+    """A block gives back its rows, with places and texts of 16 bits or more."""
+    for k, m, top in ((5, 3, 9), (70_001, 70_001, 9), (5, 3, 1 << 20)):
+        own = np.arange(k) % m
+        token, at = np.arange(k).astype(np.uint64) + np.uint64((1 << 32) - k), np.arange(k) % top + (top - k if top > k else 0)
+        node, n, fp = np.arange(m) - 2, np.arange(m) + (1 << 20), np.stack([-np.arange(m), np.arange(m) << 40])
+        got = near_copies._unpack(7, near_copies._pack(token, at, own, node, n, fp))
+        assert (got == np.stack([(7 << 32) + token.astype(np.int64), node[own], n[own], at, fp[0][own], fp[1][own]])).all()
