@@ -95,3 +95,18 @@ def test_blocks_of_wide_and_narrow_rows():
         node, n, fp = np.arange(m) - 2, np.arange(m) + (1 << 20), np.stack([-np.arange(m), np.arange(m) << 40])
         got = near_copies._unpack(7, near_copies._pack(token, at, own, node, n, fp))
         assert (got == np.stack([(7 << 32) + token.astype(np.int64), node[own], n[own], at, fp[0][own], fp[1][own]])).all()
+
+
+def test_fingerprints_decide_only_as_a_filter(spark, monkeypatch):
+    """Links of close SimHashes joined texts that prefixes had joined already; what fingerprints do is to keep pairs out."""
+    texts = near_texts(1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+
+    def unasked(*_):
+        raise AssertionError("no links of SimHashes are needed")
+
+    monkeypatch.setattr(simhash, "links", unasked)
+    assert sorted(x.doc_id for x in near_copies.one_of_each(docs).collect()) == sorted(set(brute_groups(texts)))
+    fp = np.array([[0, 0, 3, -1], [0, 0, 5, 1]], np.int64).view(np.uint64)
+    n, at = np.full(4, 100), np.zeros(4, np.int64)
+    assert near_copies._fits(n, at, fp, np.array([0, 0, 0]), np.array([1, 2, 3])).tolist() == [0, 1]
