@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.errors import ChatParseFailed, IndexNotFound, SelectionParseFailed
+from quire.functions.arrow import bounded_batches
 from quire.functions.json_clean import json_object, schema_hint
 from quire.models.chat import ChatModel, structured
 from quire.operators.retrieve import select_nodes
@@ -41,15 +42,16 @@ def choose(trees: DataFrame, queries: DataFrame, model: ChatModel, most: int = 5
                     out.append((row.document_id, row.query_id, [], "", getattr(e, "code", "ERROR")))
             yield pd.DataFrame(out, columns=["document_id", "query_id", "node_ids", "reasoning", "failed"])
 
+    bounded_batches(trees.sparkSession)
     return queries.join(trees, "document_id").mapInPandas(run, "document_id string, query_id string, node_ids array<string>, reasoning string, failed string")
 
 
-def search(nodes: DataFrame, trees: DataFrame, queries: DataFrame, model: ChatModel, most: int = 5) -> DataFrame:
+def search(nodes: DataFrame, trees: DataFrame, queries: DataFrame, model: ChatModel, most: int = 5, pages: DataFrame | None = None) -> DataFrame:
     """Context of each query from the sections that the model picks; error_code INDEX_NOT_FOUND without a tree, or
-    that of the call that failed."""
-    chosen = choose(trees, queries, model, most)
+    that of the call that failed.  With pages the nodes have no texts yet, and only those picked get theirs."""
+    chosen = choose(trees, queries, model, most).persist()  # a reply is asked for once
     failed = chosen.select("document_id", "query_id", "failed")
-    found = select_nodes(nodes, chosen.drop("failed"), most).join(failed, ["document_id", "query_id"])
+    found = select_nodes(nodes, chosen.drop("failed"), most, pages).join(failed, ["document_id", "query_id"])
     out = queries.select("document_id", "query_id", "query").join(found, ["document_id", "query_id"], "left")
     return out.withColumn("error_code", F.when(F.col("selected_node_ids").isNull(), IndexNotFound.code).otherwise(F.col("failed"))).drop("failed")
 
@@ -79,6 +81,7 @@ def answer(contexts: DataFrame, model: ChatModel, schema: T.StructType | None =
                 errors.append(error)
             yield frame.assign(reasoning=reasons, error_code=errors, data=data)
 
+    bounded_batches(contexts.sparkSession)
     return contexts.mapInPandas(run, T.StructType([*contexts.schema, T.StructField("data", T.StringType())]))
 
 
@@ -104,15 +107,15 @@ def judge(rows: DataFrame, model: ChatModel) -> DataFrame:
     return out.withColumn("score", parse_score(got["score"])).withColumn("judge_reasoning", got["reasoning"]).drop("_reply")
 
 
-def evaluate(questions: DataFrame, nodes: DataFrame, model: ChatModel, judge_model: ChatModel) -> DataFrame:
+def evaluate(questions: DataFrame, nodes: DataFrame, model: ChatModel, judge_model: ChatModel, pages: DataFrame | None = None) -> DataFrame:
     """Every question answered from its document's tree and judged: the columns of questions with actual, source_pages,
     score and judge_reasoning.
 
     questions: question_id, document_id, question, expected_answer.  A document that is not indexed, or a call that
-    fails, gives a row with the score ERROR; summary() counts them.
+    fails, gives a row with the score ERROR; summary() counts them.  With pages the nodes have no texts yet.
     """
     queries = questions.select("document_id", F.col("question_id").alias("query_id"), F.col("question").alias("query"))
-    found = answer(search(nodes, compact_json(nodes), queries, model), model)
+    found = answer(search(nodes, compact_json(nodes), queries, model, pages=pages), model)
     found = found.select(F.col("query_id").alias("question_id"), "document_id", F.when(F.col("error_code").isNull(), F.col("data")).alias("actual"), "source_pages", "error_code")
     judged = judge(questions.join(found, ["question_id", "document_id"], "left"), judge_model)
     told = F.concat(F.lit("ERROR: "), F.col("error_code"))
