@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quire.functions import folds
-from quire.functions.arrow import ARROW_BYTES, bounded_batches, span_texts as _joined
+from quire.functions.arrow import ARROW_BYTES, bounded_batches, paged, rows_of
+from quire.functions.arrow import span_texts as _joined
 
 NODE = ["document_id", "node_id", "parent_id", "preorder", "depth", "level", "title", "summary", "start_page", "end_page", "is_leaf", "text", "path", "path_ids"]
 _LATE = 2147483647
@@ -39,18 +40,21 @@ def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[list] = []
     made = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kind) for k, kind in enumerate(kinds)], names=names)
     for batch in batches:
-        for row in range(batch.num_rows):
-            document, last, front, entries = (c[row] for c in batch.columns)
-            document, last, front, entries = document.as_py(), last.as_py(), front.as_py(), entries.values
-            title, known = entries.field("title"), pc.is_valid(entries.field("at")).to_numpy(zero_copy_only=False)
-            level, start = (array("i", entries.field(c).fill_null(1).cast(number).to_numpy(zero_copy_only=False).astype(np.int32).tobytes()) for c in ("level", "at"))
-            n = len(entries)
+        entries = batch.column(3).flatten()
+        titles, known = entries.field("title"), pc.is_valid(entries.field("at")).to_pylist()
+        levels, starts = (entries.field(c).fill_null(1).to_pylist() for c in ("level", "at"))
+        hi = 0
+        for document, last, front, n in zip(*(batch.column(c).to_pylist() for c in range(3)), pc.list_value_length(batch.column(3)).to_pylist(), strict=True):
+            at, hi = hi, hi + n
+            title, level, start, known_ = titles[at:hi], levels[at:hi], starts[at:hi], known[at:hi]
+            if front:
+                held.append([document, "0001", None, 1, 1, 1, "Front Matter", None, 1, start[0] - 1, True, ["Front Matter"], ["0001"]])
             up, end, leaf = array("i", [-1]) * n, array("i", [last]) * n, bytearray(b"\x01") * n
             open_: list[int] = []  # the entry before and its ancestors
             for i in range(n):
                 while open_ and level[open_[-1]] >= level[i]:
                     j = open_.pop()
-                    end[j] = max((start[i] if known[i] else start[j]) - 1, start[j])
+                    end[j] = max((start[i] if known_[i] else start[j]) - 1, start[j])
                 if open_:
                     up[i] = open_[-1]
                     leaf[up[i]] = 0
@@ -85,13 +89,7 @@ def sections(entries: DataFrame, pages: DataFrame) -> DataFrame:
     front = F.when(first > 1, 1).otherwise(0)
     docs = docs.withColumn("front", front).withColumn("last", F.coalesce("cap", "max_page", F.lit(0)))
     bounded_batches(pages.sparkSession)
-    body = docs.select("document_id", "last", "front", "e").mapInArrow(_nested, _BODY)
-    lead = docs.filter("front = 1").select(
-        "document_id", F.lit("0001").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(1).alias("preorder"), F.lit(1).alias("depth"), F.lit(1).alias("level"),
-        F.lit("Front Matter").alias("title"), F.lit(None).cast("string").alias("summary"), F.lit(1).alias("start_page"), (first - 1).cast("int").alias("end_page"), F.lit(True).alias("is_leaf"),
-        F.array(F.lit("Front Matter")).alias("path"), F.array(F.lit("0001")).alias("path_ids"),
-    )
-    return lead.unionByName(body)
+    return docs.select("document_id", "last", "front", "e").mapInArrow(_nested, _BODY)
 
 
 def span_texts(leaves: DataFrame, pages: DataFrame, carried: str = "block") -> DataFrame:
@@ -117,22 +115,16 @@ def by_document(pages: DataFrame) -> DataFrame:
 
 def _span_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            document, spans, listed = (c[i] for c in batch.columns)
-            start, end, carried = spans.values.flatten()
-            texts = _joined(*numbered(listed), start.to_numpy(), end.to_numpy())
-            size, lo = np.cumsum([0 if n is None else n for n in pc.binary_length(texts).to_pylist()]), 0
-            while lo < len(texts):  # a few megabytes at a time
-                hi = max(int(np.searchsorted(size, (size[lo - 1] if lo else 0) + ARROW_BYTES, "right")), lo + 1)
-                columns = [pa.repeat(document, hi - lo), start[lo:hi], end[lo:hi], carried[lo:hi], texts[lo:hi].cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["document_id", "start_page", "end_page", "c", "text"])
-                lo = hi
-
-
-def numbered(pages: pa.ListScalar) -> tuple[np.ndarray, pa.Array]:
-    """Numbers and texts of one document's pages."""
-    number, text = pages.values.flatten()
-    return number.to_numpy(), text
+        document, spans, pages = batch.columns
+        (start, end, carried), (number, text) = spans.flatten().flatten(), pages.flatten().flatten()
+        row = rows_of(spans)
+        texts = _joined(paged(rows_of(pages), number), text, paged(row, start), paged(row, end))
+        size, lo = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)), 0
+        while lo < len(texts):  # a few megabytes at a time
+            hi = max(int(np.searchsorted(size, (size[lo - 1] if lo else 0) + ARROW_BYTES, "right")), lo + 1)
+            columns = [document.take(pa.array(row[lo:hi])), start[lo:hi], end[lo:hi], carried[lo:hi], texts[lo:hi].cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["document_id", "start_page", "end_page", "c", "text"])
+            lo = hi
 
 
 def attach_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
