@@ -27,6 +27,8 @@ ATX = r"^(#{1,6})\s+(.+)$"
 SETEXT_1, SETEXT_2 = r"^={3,}\s*$", r"^-{3,}\s*$"
 NUMBERED = r"^\s*(\d+(?:\.\d+)*)\.?\s+(.+)$"
 BOLD = r"^\s*\*\*(.+?)\*\*\s*$"
+# every page with a heading line matches: a mark, a line under a title, a number or a star that begins a line
+MAY_HEAD = r"(?m)^(?:#{1,6}\s|={3}|-{3}|\s*\d|\s*\*\*)"
 FENCE = "```"
 SPACES = "      ﻿"
 EDGE = r"^[\s\h\x0B]+|[\s\h\x0B]+$"
@@ -52,8 +54,10 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def normalized(text: Column) -> Column:
-    """NFKC with every exotic space a plain one; pure ASCII never leaves the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(_nfkc(text), SPACES, " " * len(SPACES))).otherwise(text)
+    """NFKC with every exotic space a plain one; pure ASCII never leaves the JVM, since a function is called for all
+    rows whatever the condition around it."""
+    exotic = text.rlike(r"[^\x00-\x7F]")
+    return F.when(exotic, F.translate(_nfkc(F.when(exotic, text)), SPACES, " " * len(SPACES))).otherwise(text)
 
 
 def without_header_mark(line: Column) -> Column:
@@ -64,20 +68,26 @@ def without_header_marks(page: Column) -> Column:
     return F.regexp_replace(page, "(?m)" + HEADER_PREFIX, "")
 
 
+def ends_in_number(line: Column) -> Column:
+    """What every contents line does, with its header mark or without."""
+    return line.rlike(r"\d[.\s]*$")
+
+
 def leader_parts(line: Column) -> list[tuple[Column, Column, Column]]:
     """(whether it matches, title, page) of a line by dots, dashes, a tab or wide space, in that order.
 
     Wide space is a number behind two spaces or more, with no such gap before it; it is taken apart from the
     end, since one pattern for all of it would recurse once for each word of a long line.
     """
-    ends = line.rlike(r"\d[.\s]*$")
+    ends = ends_in_number(line)
     out = [(ends & line.rlike(k), F.regexp_extract(line, k, 1), F.regexp_extract(line, k, 2)) for k in (DOT_LEADER, DASH_LEADER, TAB_NUMBER)]
     head = F.regexp_replace(F.regexp_replace(line, SPACE_TAIL, ""), r"^\s+", "")
     return [*out, (ends & line.rlike(SPACE_TAIL) & (head != "") & ~head.rlike(r"\s\s"), head, F.regexp_extract(line, SPACE_TAIL, 1))]
 
 
 def has_contents_header(page: Column) -> Column:
-    return F.contains(F.upper(page), F.lit("TABLE OF CONTENTS")) | page.rlike(CONTENTS_HEADER)
+    upper = F.upper(page)
+    return F.contains(upper, F.lit("CONTENTS")) & (F.contains(upper, F.lit("TABLE OF CONTENTS")) | page.rlike(CONTENTS_HEADER))
 
 
 def numbering_level(title: Column) -> Column:

@@ -7,7 +7,7 @@ structure have no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from quire.config import DISCOVERY_MAX_RATIO, DISCOVERY_PAGES, IndexingConfig
 from quire.functions import folds
 from quire.functions import text as X
+from quire.functions.arrow import bounded_batches
 
 ENTRY = ["document_id", "entry_pos", "title", "page_number", "physical_index", "level", "structure", "method", "last_content_page"]
 
@@ -34,8 +35,9 @@ def fenced(rows: DataFrame, by_page: bool) -> DataFrame:
 
 def contents_pages(pages: DataFrame, config: IndexingConfig) -> DataFrame:
     """The pages, normalised, with has_header and is_toc; counts come from the page's own lines, no shuffle."""
+    bounded_batches(pages.sparkSession)  # normalising works on pages of any length
     text = pages.select("document_id", "page_number", X.normalized(F.col("text")).alias("text"))
-    clean = F.transform(X.lines(F.col("text")), X.without_header_mark)
+    clean = F.transform(F.filter(X.lines(F.col("text")), X.ends_in_number), X.without_header_mark)
     kind = lambda x: [hit for hit, _, _ in X.leader_parts(x)]
     structured, spaced = F.size(F.filter(clean, lambda x: kind(x)[0] | kind(x)[1] | kind(x)[2])), F.size(F.filter(clean, lambda x: kind(x)[3]))
     rows = text.withColumn("has_header", X.has_contents_header(F.col("text"))).withColumn("structured", structured).withColumn("spaced", spaced)
@@ -43,33 +45,38 @@ def contents_pages(pages: DataFrame, config: IndexingConfig) -> DataFrame:
     return rows.withColumn("is_toc", F.col("has_header") | (F.col("structured") >= least) | ((F.col("structured") >= 1) & (F.col("spaced") >= least)))
 
 
-def contents_lines(toc: DataFrame) -> DataFrame:
-    """Entries parsed from the lines of contents pages; a line by label and page only where a page has the header."""
+def contents_lines(toc: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Entries parsed from the lines of contents pages, with the columns of keep; a line by label and page only where
+    a page has the header."""
     allowed = F.max(F.col("has_header").cast("int")).over(W.partitionBy("document_id")) == 1
-    rows = toc.filter("is_toc").withColumn("allowed", allowed).select("document_id", "page_number", "allowed", F.posexplode(X.lines(F.col("text"))).alias("line_pos", "line"))
+    rows = toc.filter("is_toc").withColumn("allowed", allowed).select("document_id", "page_number", "allowed", *keep, F.posexplode(X.lines(F.col("text"))).alias("line_pos", "line")).filter(X.ends_in_number(F.col("line")))
     line = X.without_header_mark(F.col("line"))
     title, page = F.lit(None).cast("string"), F.lit(None).cast("string")
     for hit, t, p in reversed(X.leader_parts(line)):
         title, page = F.when(hit, t).otherwise(title), F.when(hit, p).otherwise(page)
     loose = line.rlike(X.PERMISSIVE) & F.col("allowed") & F.regexp_extract(line, X.PERMISSIVE, 1).rlike("[A-Za-z]")
     title, page = F.coalesce(title, F.when(loose, F.regexp_extract(line, X.PERMISSIVE, 1))), F.coalesce(page, F.when(loose, F.regexp_extract(line, X.PERMISSIVE, 2)))
-    rows = rows.select("document_id", F.col("page_number").alias("toc_page"), "line_pos", X.trimmed(title).alias("title"), page.try_cast("int").alias("page_number"))
+    rows = rows.select("document_id", F.col("page_number").alias("toc_page"), "line_pos", X.trimmed(title).alias("title"), page.try_cast("int").alias("page_number"), *keep)
     rows = rows.filter((F.col("page_number") >= 1) & (F.col("title") != "") & ~F.col("title").rlike(X.PURE_NUMERIC))
     return rows.withColumn("level", X.numbering_level(F.col("title")))
 
 
 def by_contents(pages: DataFrame, config: IndexingConfig) -> DataFrame:
-    """Entries of contents pages, moved to physical pages behind (or, if the contents stand last, before) them."""
-    toc = contents_pages(pages, config)
-    about = toc.groupBy("document_id").agg(
-        F.max("page_number").alias("total"), F.max(F.when(F.col("is_toc"), F.col("page_number"))).alias("last_toc"), F.max(F.when(~F.col("is_toc"), F.col("page_number"))).alias("last_content_page")
-    )
-    entries = contents_lines(toc)
+    """Entries of contents pages, moved to physical pages behind (or, if the contents stand last, before) them.
+
+    Pages are looked at once: a document's counts and its contents pages come from the same pass.
+    """
+    about = ["total", "last_toc", "last_content_page"]
+    toc = contents_pages(pages, config).groupBy("document_id").agg(
+        F.max("page_number").alias("total"), F.max(F.when(F.col("is_toc"), F.col("page_number"))).alias("last_toc"), F.max(F.when(~F.col("is_toc"), F.col("page_number"))).alias("last_content_page"),
+        F.collect_list(F.when(F.col("is_toc"), F.struct("page_number", "text", "has_header", "is_toc"))).alias("t"),
+    )
+    entries = contents_lines(toc.filter("last_toc is not null").select("document_id", *about, F.inline("t")), about)
     whole = W.partitionBy("document_id")
     spread = F.max("page_number").over(whole) - F.min("page_number").over(whole)
     n, distinct = F.count(F.lit(1)).over(whole), F.size(F.collect_set("page_number").over(whole))
     entries = entries.withColumn("least", F.min("page_number").over(whole)).withColumn("_ok", (spread >= 3) | ((n >= 6) & (distinct >= 3))).filter("_ok")
-    rows = entries.join(about, "document_id")
+    rows = entries
     offset = F.when(F.col("last_toc") * 2 > F.col("total"), 1 - F.col("least")).otherwise(F.col("last_toc") + 1 - F.col("least"))
     physical = F.least(F.greatest(F.col("page_number") + offset, F.lit(1)), F.col("total").cast("int"))
     return _entries(rows.withColumn("physical_index", physical), "TOC_WITH_PAGES", ["toc_page", "line_pos"], F.col("last_content_page"))
@@ -78,7 +85,7 @@ def by_contents(pages: DataFrame, config: IndexingConfig) -> DataFrame:
 def header_lines(pages: DataFrame) -> DataFrame:
     """Heading lines outside fences: title, level and kind, by ATX, setext, numbered and bold in that order."""
     page = W.partitionBy("document_id", "page_number").orderBy("line_pos")
-    rows = fenced(page_lines(pages), by_page=True)
+    rows = fenced(page_lines(pages.filter(F.col("text").rlike(X.MAY_HEAD))), by_page=True)  # pages don't depend on each other
     line = F.col("line")
     rows = rows.withColumn("next", F.lead("line").over(page)).withColumn("before", F.lag("line").over(page))
     outside = ~F.col("is_fence") & ~F.col("in_fence")

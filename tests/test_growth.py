@@ -111,3 +111,17 @@ def test_cosines_are_ranked_without_a_shuffle_of_them(spark):
     a, b = retrieve.ranked(words, "wr").select(*keys, "wr"), retrieve.ranked(plain, "vr").select(*keys, "preorder", "vr")
     want = b.join(a, keys, "left").select(*keys, "preorder", F.round(F.coalesce(1.0 / (60 + F.col("wr")), F.lit(0.0)) + 1.0 / (60 + F.col("vr")), 9), F.coalesce("wr", F.lit(2147483647)))
     assert sorted(map(tuple, retrieve.fuse(words, plain).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pages_are_looked_at_once_for_contents(spark, one_page):
+    made = detect.by_contents(one_page[1], CONFIG)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_pages_without_headings_are_not_shuffled(spark):
+    random.seed(6)
+    rows = [("d", i, "x" + random.randbytes(1000).hex()) for i in range(1, 2000)] + [("d", 2000, "a\n# One\nb\n===\n 1.2 Two\n\n **Three**")]
+    pages = spark.createDataFrame(rows, "document_id string, page_number int, text string").persist()
+    found = detect.header_lines(pages)
+    assert shuffled(spark, found) < 0.5 and sorted(r.title for r in found.collect()) == ["One", "Three", "Two", "b"]
